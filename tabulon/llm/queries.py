@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import language_id, simhash
+from tabulon.llm import language_id, page_archives, simhash
 from tabulon.llm.common import table
 
 
@@ -14,13 +14,30 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_archives.archived(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) END AS keeper FROM p
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < keeper THEN keeper END AS refers_to
+FROM m
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op8_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL}
