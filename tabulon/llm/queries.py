@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import language_id, page_archives, simhash
+from tabulon.llm import language_id, page_archives, simhash, token_ids
 from tabulon.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -31,12 +38,16 @@ FROM m
 """
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op8_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op5_token_ids, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
