@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import ball_tree, language_id, page_archives, simhash, token_ids
+from tabulon.llm import ball_tree, ivf_pq, language_id, page_archives, simhash, token_ids
 from tabulon.llm.common import table
 
 
@@ -64,8 +64,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf_pq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op5_token_ids, op7_exact_top_k, op8_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op5_token_ids, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
