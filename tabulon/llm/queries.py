@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import ball_tree, ivf_pq, language_id, page_archives, simhash, token_ids
+from tabulon.llm import ball_tree, ivf_pq, kneser_ney, language_id, packing, page_archives, simhash, token_ids
 from tabulon.llm.common import table
 
 
@@ -39,10 +39,18 @@ FROM m
 """
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -69,7 +77,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op5_token_ids, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op4_quality, op5_token_ids, op6_packing, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
