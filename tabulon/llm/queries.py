@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import ball_tree, ivf_pq, kneser_ney, language_id, packing, page_archives, simhash, token_ids
-from tabulon.llm.common import table
+from tabulon.llm import backoff_lm, ball_tree, ivf_pq, kneser_ney, language_id, packing, page_archives, simhash, token_ids
+from tabulon.llm.common import crc_of_id, table
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,11 @@ FROM m
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff_lm.score(documents, crc_of_id("doc_id") % 7 == 2)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,7 +82,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op4_quality, op5_token_ids, op6_packing, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_quality, op5_token_ids, op6_packing, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
