@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm import backoff_lm, ball_tree, ivf_pq, kneser_ney, language_id, packing, page_archives, simhash, token_ids
+from tabulon.llm import backoff_lm, ball_tree, ivf_pq, kneser_ney, language_id, packing, page_archives, simhash, token_ids, unigram
 from tabulon.llm.common import crc_of_id, table
 
 
@@ -81,8 +81,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_pq.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_quality, op5_token_ids, op6_packing, op7_exact_top_k, op8_simhash, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_language_id, op2_warc, op3_lm_scoring, op4_quality, op5_token_ids, op6_packing, op7_exact_top_k, op8_simhash, op9_nearest_neighbours, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
