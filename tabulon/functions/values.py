@@ -81,25 +81,42 @@ def parsed(text: Column, kind: str, dialect: t.Dialect | None = None) -> Column:
     return F.lit(None)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it names it; keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _date(text: Column) -> Column:
     """Ten characters: YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY, or slashes, read per value as day first unless only month first can be."""
-    a, b = F.regexp_extract(text, _SLASHED, 1), F.regexp_extract(text, _SLASHED, 2)
-    month_first = (a <= "12") & (b > "12")
-    year = F.regexp_extract(text, _SLASHED, 3)
-    slashed = F.concat_ws("-", year, F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a))
-    iso = F.when(text.rlike(_YMD), F.regexp_replace(text, "/", "-")).when(text.rlike(_DOTTED), F.regexp_replace(text, _DOTTED, "$3-$2-$1")).when(text.rlike(_SLASHED), slashed)
-    return F.when(iso >= "1000", iso.try_cast("date"))
+
+    def other(x: Column) -> Column:
+        parts = F.split(x, "[-/.]")
+        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        month_first = x.contains("/") & (first <= "12") & (second > "12")
+        iso = F.when(x.rlike(_YMD), F.replace(x, F.lit("/"), F.lit("-"))).when(
+            x.rlike(_DOTTED) | x.rlike(_SLASHED), F.concat_ws("-", F.get(parts, F.lit(2)), F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first))
+        )
+        return F.when(iso >= "1000", iso.try_cast("date"))
+
+    plain = F.when(text.rlike(r"^[1-9]\d{3}-\d\d-\d\d$"), text.try_cast("date"))
+    return F.coalesce(plain, F.when(F.length(text) == 10, _bound(text, other)))
 
 
 def _moment(text: Column) -> Column:
-    part = [F.regexp_extract(text, _MOMENT, k) for k in range(8)]
-    day = _date(F.when(F.length(text) == 10, text).otherwise(part[1]))
-    number = [F.coalesce(p.try_cast("bigint"), F.lit(0)) for p in part]
-    inside = (number[2] <= 23) & (number[3] <= 59) & (number[4] <= 60) & (number[6] <= 23) & (number[7] <= 59)
-    offset = F.when(part[5] == "-", 1).otherwise(-1) * (number[6] * 3600 + number[7] * 60)
-    seconds = F.unix_date(day).cast("bigint") * 86400 + number[2] * 3600 + number[3] * 60 + number[4] + offset
-    moment = F.timestamp_seconds(seconds)
-    return F.when(inside & ((F.length(text) == 10) | (part[1] != "")), F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz")))
+    """A date, or a date and a time with seconds up to 60 and an offset that is taken off; fractions are dropped."""
+
+    def other(parts: Column) -> Column:
+        number = [F.coalesce(F.get(parts, F.lit(k)).try_cast("bigint"), F.lit(0)) for k in range(1, 7)]
+        hour, minute, second, _, off_hour, off_minute = number
+        inside = (hour <= 23) & (minute <= 59) & (second <= 60) & (off_hour <= 23) & (off_minute <= 59)
+        offset = F.when(F.get(parts, F.lit(4)) == "-", 1).otherwise(-1) * (off_hour * 3600 + off_minute * 60)
+        seconds = F.unix_date(_date(F.get(parts, F.lit(0)))).cast("bigint") * 86400 + hour * 3600 + minute * 60 + second + offset
+        return F.when(inside, F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz")))
+
+    plain = F.when(text.rlike(r"^[1-9]\d{3}-\d\d-\d\d[T ]\d\d:\d\d:\d\d$"), text.try_cast("timestamp_ntz"))
+    pieces = F.split(F.regexp_replace(text, _MOMENT, "$1,$2,$3,$4,$5,$6,$7"), ",", -1)
+    timed = F.when(text.rlike(_MOMENT), _bound(pieces, other))
+    return F.coalesce(plain, timed, F.when(F.length(text) == 10, _date(text).cast("timestamp_ntz")))
 
 
 # The same rules for single values.

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tabulon import types as t
-from tabulon.plans.lowering import lower, quoted
+from tabulon.plans.lowering import column, lower, quoted
 from tabulon.plans.plan import Plan, parse_plan
 from tabulon.plans.validator import Physical, Validation, validate
 from tabulon.report import Report
@@ -92,16 +92,12 @@ def run(dataset: Dataset, plan: Plan | str | dict, options: Options | None = Non
 
 
 def _outcome(dataset: Dataset, found: Validation, source: DataFrame, scan, options: Options) -> Outcome:
-    from dataclasses import replace
-
     spark = source.sparkSession
     seen, kept = Observation(), Observation()
     source = source.observe(seen, F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.col(scan.bad).cast("bigint")), F.lit(0)).alias("bad"))
     good = source.where(~F.col(scan.bad)) if scan.checked else source
     good = good.select(*(quoted(n) for n in found.plan.scanned)) if found.plan.scanned else good
     # The filters run below the second count, and not again above it.
-    from tabulon.plans.lowering import column
-
     env = {name: F.col(quoted(name)) for name in good.columns}
     for alias, typed in found.plan.computed:
         env[alias] = column(typed, env)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon import types as t
@@ -15,6 +15,17 @@ _COMPARE = {"==": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, "<=":
 _TRY = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
 
 
+#: A sort with a limit beyond this is a full sort: top-k keeps its rows, and room for them, in memory.
+TOP_K_ROWS = 100_000
+_TOP_K_SETTING = "spark.sql.execution.topKSortFallbackThreshold"
+
+
+def bound_top_k(spark: SparkSession) -> None:
+    """Have the session sort in full for large limits, unless it already has a bound of its own."""
+    if int(spark.conf.get(_TOP_K_SETTING)) > TOP_K_ROWS:
+        spark.conf.set(_TOP_K_SETTING, TOP_K_ROWS)
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -87,6 +98,7 @@ def lower(df: DataFrame, plan: Physical, compat_empty_global: bool = False) -> D
 
     ``compat_empty_global`` makes a global aggregate over no rows return no row instead of one.
     """
+    bound_top_k(df.sparkSession)
     env = {name: F.col(quoted(name)) for name in df.columns}
     for alias, typed in plan.computed:
         env[alias] = column(typed, env)

@@ -72,7 +72,7 @@ class ParquetDataset(Dataset):
 
 def _size(df: DataFrame) -> int:
     """Bytes of the files, as the planner knows them."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class CsvDataset(Dataset):
@@ -105,7 +105,9 @@ class CsvDataset(Dataset):
         null = [values.is_null(x, c.physical_type) for x, c in zip(text, found, strict=True)]
         value = [F.when(~n, values.parsed(x, c.physical_type, dialect)) for x, n, c in zip(text, null, found, strict=True)]
         wrong = [~n & v.isNull() for n, v, c in zip(null, value, found, strict=True) if c.physical_type not in t.TEXT]
-        bad = reduce(Column.__or__, wrong, F.col(RAW).isNotNull())
+        # Spark refuses to read the corrupt record alone, so the arity test also looks at the first field.
+        arity = F.when(F.col(RAW).isNotNull(), True).otherwise(F.length(f"c{self.schema.columns[0].index}") < 0)
+        bad = reduce(Column.__or__, wrong, F.coalesce(arity, F.lit(False)))
         if policy == "fail":
             joined = F.concat_ws(dialect.delimiter, *(F.col(f"c{c.index}") for c in self.schema.columns))
             # In the filter it can't be pruned away.
