@@ -6,8 +6,8 @@ shared folder and reads it again as the next stage's documents.
 - quality: documents whose perplexity is outside their language's quantiles go, and so do those
   without text.  Rows with the same doc_id stay or go together.
 - language: documents without a letter, or close to no language, go.
-- near_duplicates: of the documents linked by SimHash over five-word shingles, the one with the least
-  doc_id stays.  Documents without a doc_id all stay; repeated rows of one document become one.
+- near_duplicates: of the documents that SimHash finds alike by 0.8 in their five-word shingles, the
+  one with the least doc_id stays.  Documents without a doc_id all stay; repeated rows of one document become one.
 - packing: every document's length bucket, batch and slot.
 """
 
@@ -21,9 +21,6 @@ from tabulon.llm.common import table, written
 
 #: The least cosine with the nearest language profile.
 MIN_COSINE = 0.1
-#: Words in a shingle and bits that linked fingerprints may differ in.
-SHINGLE_WORDS = 5
-HAMMING_BITS = 3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    groups = simhash.groups(docs, size=SHINGLE_WORDS, budget=HAMMING_BITS)
+    groups = simhash.similar_groups(docs)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))

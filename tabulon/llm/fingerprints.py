@@ -50,3 +50,30 @@ def with_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
     return df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, "doc_id long, fp long")
+
+
+#: Odd numbers, by which multiplying puts hashes into other orders.
+_ORDERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(64)], np.uint64)
+
+
+def sampled_fingerprints(text: str | None, size: int, samples: int, shingles: int) -> np.ndarray:
+    """SimHash fingerprints of ``samples`` samples of the text's distinct shingles, each the ``shingles`` that come first in an order of its own."""
+    blocks = [*shingle_hashes(text, size)]
+    if not blocks:
+        return np.empty(0, np.uint64)
+    hashes = np.unique(np.concatenate(blocks).astype(np.uint64))
+    picked = np.empty((samples, min(shingles, len(hashes))), np.uint64)
+    for low in range(0, samples, step := max(1, (1 << 20) // len(hashes))):
+        orders = hashes[None] * _ORDERS[low : min(low + step, samples), None]
+        first = np.argpartition(orders, shingles - 1, axis=1)[:, :shingles] if len(hashes) > shingles else np.broadcast_to(np.arange(len(hashes)), orders.shape)
+        picked[low : low + step] = hashes[first]
+    bits = np.unpackbits(picked.astype(">u8").view(np.uint8).reshape(samples, -1, 8), axis=2)
+    ones = bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > picked.shape[1], axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def similarity(a: str | None, b: str | None, size: int) -> float:
+    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    x, y = (np.unique(np.concatenate(blocks)) if (blocks := [*shingle_hashes(t, size)]) else np.empty(0, np.uint64) for t in (a, b))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0

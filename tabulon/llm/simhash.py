@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, written
+from tabulon.llm.common import delete, words, written
 from tabulon.llm.components import components
-from tabulon.llm.fingerprints import with_fingerprints
+from tabulon.llm.fingerprints import sampled_fingerprints, similarity, with_fingerprints
 
 BITS = 64
 BUDGET = 2
@@ -219,6 +220,60 @@ def grouped(spark, docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     return docs.join(named, "fp", "left").select("doc_id", "fp", at.alias("component_id"))
 
 
+#: Samples of a text's shingles, shingles in each, and words in a shingle, for ``similar_groups``.
+SAMPLES = 16
+SAMPLED = 4
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+
+
+def _signatures(df: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h1, h2, prints): two hashes of a text's words, and the fingerprints of its samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                texts = part.column(1).to_pylist()
+                joined = [b" ".join(words(t)) for t in texts]
+                columns = [part.column(0), *(pa.array([xxhash.xxh64_intdigest(j, seed) for j in joined], pa.uint64()).view(pa.int64()) for seed in (1, 2))]
+                prints = [sampled_fingerprints(t, size, SAMPLES, SAMPLED).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "prints"])
+
+    return df.mapInArrow(run, "doc_id long, h1 long, h2 long, prints array<long>")
+
+
+def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts whose sets of shingles are alike by the threshold.
+
+    Texts this alike differ in about ten of 64 bits, too many for a trie's budget to prune by.  So each
+    text gets ``SAMPLES`` fingerprints, each of ``SAMPLED`` shingles that come first in an order of its
+    own: two texts alike by 0.8 share one of these but for one in 5,000.  Where the tries' paths of two
+    fingerprints are the same (a budget of no bits), the texts are compared: each with the least
+    doc_id at the end of its path, by their whole sets of shingles.  Copies meet beforehand.
+    """
+    spark = df.sparkSession
+    rows = df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
+    signed, _ = written(_signatures(rows, size), "signatures")
+    classes, classes_path = written(signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value("prints").alias("prints")), "classes")
+    prints = classes.select("doc", F.posexplode("prints").alias("sample", "fp"))
+    ends, ends_path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "path-ends")
+    pairs, pairs_path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first").select("doc", "first").distinct(), "pairs")
+    one = pairs.join(rows.withColumnRenamed("text", "a"), pairs["doc"] == F.col("doc_id")).select("doc", "first", "a")
+    both = one.join(rows.withColumnRenamed("text", "b"), one["first"] == F.col("doc_id")).select("doc", "first", "a", "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similarity(a, b, size) >= threshold for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
+
+    labels = components(both.mapInArrow(alike, "a long, b long"), "a", "b")
+    named, _ = written(classes.join(labels, classes["doc"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id")), "components")
+    delete(spark, classes_path, ends_path, pairs_path)
+    return signed.join(named, ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint in hexadecimal and component of every document."""
     found = groups(df)
