@@ -59,7 +59,7 @@ def pack(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.ndarray, n
     body = starts + _BLOCK_HEAD.itemsize
     for w in np.unique(width[width > 0]).tolist():
         of = np.flatnonzero(width == w)
-        bits = (values[of][:, :, None] >> np.arange(w, dtype=np.uint32)).astype(np.uint8) & 1
+        bits = np.unpackbits(values[of].astype("<u4").view(np.uint8).reshape(-1, BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
         out[body[of][:, None] + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(of), -1), axis=1, bitorder="little")
     if exceptions.any():
         block, place = np.nonzero(outlier)
@@ -84,10 +84,9 @@ def unpack(starts: np.ndarray, blocks: np.ndarray, n: int) -> np.ndarray:
     for w in np.unique(width[width > 0]).tolist():
         of = np.flatnonzero(width == w)
         bits = np.unpackbits(blocks[body[of][:, None] + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(of), BLOCK, w)
-        whole = np.zeros((len(of), BLOCK), np.uint32)
-        for bit in range(w):
-            whole |= bits[:, :, bit].astype(np.uint32) << np.uint32(bit)
-        values[of] = whole
+        whole = np.zeros((len(of), BLOCK, 32), np.uint8)
+        whole[:, :, :w] = bits
+        values[of] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
     if exceptions.any():
         block = np.repeat(np.arange(count), exceptions)
         nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)

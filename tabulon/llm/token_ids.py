@@ -32,11 +32,19 @@ from tabulon.llm.common import delete, new_path, words, written
 END_ID = 2
 FRAME_IDS = 1 << 16
 FRAMES_PER_FILE = 64
-_REMEMBERED = 500_000
-_TOGETHER = 256
+_REMEMBERED = 350_000
+_TOGETHER = 512
 #: What word_bpe_49k.json keeps as words, given by its pre-tokenizer.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _WORD_END = "</w>"
+_MARKS = b".,;:!?*&%$#|-)]}"
+
+
+def _count(piece: str) -> int:
+    """How many words the tokenizer makes of a piece."""
+    if piece.isalpha():
+        return 1
+    return len(_WORDS.findall(unicodedata.normalize("NFC", piece).lower()))
 
 
 class PieceEncoder:
@@ -50,31 +58,53 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
+        # Two generations: when the younger is full it becomes the older, of which only what is asked again stays.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
         pieces = [words(text) for text in texts]
-        missing = [piece for piece in dict.fromkeys(p for ps in pieces for p in ps) if piece not in self.known]
+        asked: set[bytes] = set()
+        for piece in pieces:
+            asked.update(piece)
+        missing = asked.difference(self.known)
         if len(self.known) + len(missing) > _REMEMBERED:
-            self.known.clear()
-            missing = [*dict.fromkeys(p for ps in pieces for p in ps)]
-        for start in range(0, len(missing), _TOGETHER):
-            self._learn(missing[start : start + _TOGETHER])
+            self.before, self.known, missing = self.known, {}, asked
+        again = missing.intersection(self.before)
+        self.known.update((piece, self.before[piece]) for piece in again)
+        todo = [*missing.difference(again)]
+        for start in range(0, len(todo), _TOGETHER):
+            self._learn(todo[start : start + _TOGETHER])
         known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in ps]), np.uint32) for ps in pieces]
+        return [np.frombuffer(b"".join(map(known.__getitem__, ps)), np.uint32) for ps in pieces]
 
     def _alone(self, piece: bytes) -> None:
         self.known[piece] = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, pieces: list[bytes]) -> None:
+        """Remember pieces.  Letters with punctuation after them are two words, each of which may be known."""
+        known, needed, made = self.known, {}, []
+        for piece in pieces:
+            stem = piece.rstrip(_MARKS)
+            if stem and len(stem) < len(piece) and (stem.isalpha() or stem.decode().isalpha()):
+                tail = piece[len(stem) :]
+                made.append((piece, stem, tail))
+                needed.update((part, None) for part in (stem, tail) if part not in known)
+            else:
+                needed[piece] = None
+        self._encode([*needed])
+        for piece, stem, tail in made:
+            known[piece] = known[stem] + known[tail]
+
+    def _encode(self, pieces: list[bytes]) -> None:
         """Encode pieces in one text and tell them apart by their words' last tokens, or each alone where that fails."""
         together = [p for p in pieces if b"<|" not in p]
         for piece in pieces:
             if b"<|" in piece:
                 self._alone(piece)
         joined = b" ".join(together).decode()
-        counts = [len(_WORDS.findall(p)) for p in unicodedata.normalize("NFC", joined).lower().split(" ")]
+        counts = [_count(piece) for piece in joined.split(" ")]
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != sum(counts) or (len(ends) and ends[-1] != len(ids)):
