@@ -22,7 +22,7 @@ TRUE_WORDS = ("true", "t", "yes", "y", "1", "ano")
 FALSE_WORDS = ("false", "f", "no", "n", "0", "nie")
 CURRENCIES = ("EUR", "USD", "CZK", "PLN", "GBP", "€", "$", "Kč")
 
-_SPACE = " \\t\\n\\x0B\\f\\r"
+_SPACE = " \t\n\x0b\f\r"
 _INT = r"^[+-]?\d+$"
 _FLOAT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _DECIMAL = r"^[+-]?(\d+(\.\d{0,4})?|\.\d{1,4})$"
@@ -34,12 +34,14 @@ _MOMENT = r"^(.{10})[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d*)?)?(?:[Zz]|([+-])(\d
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{_SPACE}]+|[{_SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 def is_null(text: Column, kind: str) -> Column:
     """Whether a field stands for no value in a column of a type."""
-    return text.isNull() | F.lower(trimmed(text)).isin(*(NULL_WORDS if kind in t.TEXT else NULL_WORDS_TYPED))
+    bare = trimmed(text)
+    # Longer texts than the longest of these words aren't compared.
+    return text.isNull() | ((F.octet_length(bare) <= 4) & F.lower(bare).isin(*(NULL_WORDS if kind in t.TEXT else NULL_WORDS_TYPED)))
 
 
 def _plain_number(text: Column, dialect: t.Dialect) -> Column:
@@ -68,9 +70,7 @@ def parsed(text: Column, kind: str, dialect: t.Dialect | None = None) -> Column:
         value = _guarded(_plain_number(text, dialect), _FLOAT, "double")
         return F.when(F.abs(value) < float("inf"), value)
     if kind == t.DECIMAL:
-        bare = trimmed(F.regexp_replace(text, f"^({_MARK})|({_MARK})$", ""))
-        both = text.rlike(f"^({_MARK}).*({_MARK})$")
-        return _guarded(F.when(~both, _plain_number(bare, dialect)), _DECIMAL, "decimal(18,4)")
+        return F.coalesce(_guarded(_plain_number(text, dialect), _DECIMAL, "decimal(18,4)"), _bound(text, lambda x: _marked(x, dialect)))
     if kind == t.BOOLEAN:
         word = F.lower(text)
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
@@ -81,6 +81,13 @@ def parsed(text: Column, kind: str, dialect: t.Dialect | None = None) -> Column:
     return F.lit(None)
 
 
+def _marked(text: Column, dialect: t.Dialect) -> Column:
+    """A decimal with one currency before or after it."""
+    bare = trimmed(F.regexp_replace(text, f"^({_MARK})|({_MARK})$", ""))
+    one = text.rlike(f"^({_MARK})|({_MARK})$") & ~text.rlike(f"^({_MARK}).*({_MARK})$")
+    return _guarded(F.when(one, _plain_number(bare, dialect)), _DECIMAL, "decimal(18,4)")
+
+
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often it names it; keeps generated code small."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -127,7 +134,7 @@ def scalar_is_null(text: str, typed: bool = True) -> bool:
 
 
 def strip(text: str) -> str:
-    return text.strip(" \t\n\x0b\f\r")
+    return text.strip(_SPACE)
 
 
 def _scalar_number(text: str, dialect: t.Dialect) -> str:

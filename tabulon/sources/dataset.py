@@ -112,7 +112,10 @@ class CsvDataset(Dataset):
             joined = F.concat_ws(dialect.delimiter, *(F.col(f"c{c.index}") for c in self.schema.columns))
             # In the filter it can't be pruned away.
             lines = lines.where(F.when(bad, F.raise_error(F.concat(F.lit("bad row: "), F.coalesce(F.col(RAW), joined)))).otherwise(True))
-        rows = lines.select(*(v.alias(name) for v, name in zip(value, columns, strict=True)), F.coalesce(bad, F.lit(False)).alias(BAD))
+        # The second term is always true.  As it isn't deterministic, no filter is pushed below this projection, which
+        # would parse every field once more for the filter.
+        once = F.coalesce(bad, F.lit(False)) & (F.spark_partition_id() >= 0)
+        rows = lines.select(*(v.alias(name) for v, name in zip(value, columns, strict=True)), once.alias(BAD))
         quarantine = None
         if policy == "quarantine":
             joined = F.concat_ws(dialect.delimiter, *(F.col(f"c{c.index}") for c in self.schema.columns))
