@@ -26,23 +26,23 @@ MIN_COSINE = 0.1
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the Kneser-Ney classifier, trained on the labelled good ones, finds good."""
     judged = kneser_ney.classify(docs, table(spark, sf_dir, "labels"))
-    good = judged.where("good").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    good = judged.where("good").select(F.col("doc_id").alias("__good_id")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["__good_id"]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which some language is found."""
     prototypes = language_id.learn(docs)
-    found = language_id.predict(docs, prototypes)
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_COSINE)
+    found = language_id.predict(docs, prototypes, made=("__lang_pred", "__cosine"))
+    known = (F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__cosine") >= MIN_COSINE)
     return found.where(known | F.lit(not prototypes)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     groups = simhash.similar_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    with_id = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id is null"))
 
 

@@ -163,8 +163,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     return dict(sorted(prototypes.items()))
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score`` (the cosine, 0 where it is negative) appended."""
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``df`` with the language and the score (the cosine, 0 where it is negative) appended under the names ``made``."""
     names = [*prototypes]
     profile = np.array([p / (np.linalg.norm(p) or 1) for p in prototypes.values()]).reshape(len(names), dimensions)
     place = df.columns.index(text)
@@ -184,9 +184,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                     best = int(np.argmax(cosines))
                     langs.append(names[best])
                     scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *made])
 
-    schema = df.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = df.select("*", F.lit("").alias(made[0]), F.lit(0.0).alias(made[1])).schema
     return df.mapInArrow(scored, schema)
 
 

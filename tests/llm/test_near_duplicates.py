@@ -101,6 +101,21 @@ def test_pipeline(spark, tmp_path):
     assert len(texts) == len(set(texts))
 
 
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    clash = "good string, score double, lang_pred string, kept_id long, bits double, fp long, component_id long, bucket int"
+    rest = ("x", 0.0, "y", 1, 0.0, 2, 3, 4)
+    text = "the quick brown fox ran over the lazy dog and the hill "
+    rows = [(k, text * (1 + k), "en", "s", 9, *rest) for k in range(8)] + [(20, None, "en", "s", 0, *rest), (21, "", None, None, 0, *rest), (7, text * 8, "en", "s", 9, *rest), (None, text, None, "s", 1, *rest), (22, text * 4000, "en", "s", 9, *rest)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = stage(spark, kept, str(tmp_path))
+            assert name == "packing" or kept.columns == docs.columns
+            assert kept.count() <= table.count()
+
+
 def test_every_operator_is_registered():
     names = [*queries.queries()]
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == [*range(1, 11)]
