@@ -119,6 +119,17 @@ def test_quality(spark, documents):
     assert all(r.good == (r.bits is not None) for r in free)
 
 
+def test_good_documents_without_a_label_are_good(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    hidden = {r.doc_id for r in labels.where("quality = 1 and doc_id % 2 = 1").collect()}
+    bad = {r.doc_id for r in labels.where("quality = 0").collect()}
+    good = {r.doc_id for r in kneser_ney.classify(docs, labels.where("quality = 0 or doc_id % 2 = 0")).where("good").collect()}
+    assert len(hidden) > 100
+    assert len(hidden & good) > 0.9 * len(hidden)
+    assert len(bad & good) < 0.4 * len(bad)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_against_their_definition(spark, order):
     texts = ["a b a", "A b c", None, "", "a b a b d", "b", "x " * 500, "\ta\x0bb\n"]
