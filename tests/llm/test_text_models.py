@@ -130,6 +130,18 @@ def test_good_documents_without_a_label_are_good(spark):
     assert len(bad & good) < 0.4 * len(bad)
 
 
+def test_a_long_text_leaves_the_others_in_the_training_set(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRUSTED_CHARS", 1000)
+    monkeypatch.setattr(kneser_ney, "PIECE", 300, raising=False)
+    docs = spark.createDataFrame([(k, ("long " * 4000 if k % 5 == 0 else "short text ") * 2) for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
+    texts = [r.text for r in kneser_ney.trusted(docs, labels).collect()]
+    assert sum(t.startswith("short") for t in texts) == 16
+    assert max(map(len, texts)) <= 300
+    alone = kneser_ney.trusted(docs.where("doc_id = 0"), labels).collect()
+    assert [len(r.text) for r in alone] == [300]
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_against_their_definition(spark, order):
     texts = ["a b a", "A b c", None, "", "a b a b d", "b", "x " * 500, "\ta\x0bb\n"]
