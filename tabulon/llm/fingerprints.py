@@ -52,19 +52,39 @@ def with_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, "doc_id long, fp long")
 
 
-#: Odd numbers, by which multiplying puts hashes into other orders.
-_ORDERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) | 1 for k in range(64)], np.uint64)
+def _mixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The hashes put into an order for each seed, independent of the others (splitmix64's finaliser over hash plus seed)."""
+    x = hashes[None] + seeds[:, None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def sampled_fingerprints(text: str | None, size: int, samples: int, shingles: int) -> np.ndarray:
-    """SimHash fingerprints of ``samples`` samples of the text's distinct shingles, each the ``shingles`` that come first in an order of its own."""
+def _seeds(n: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) for k in range(n)], np.uint64)
+
+
+def prefix(text_hashes: np.ndarray, threshold: float) -> np.ndarray:
+    """The first of a text's distinct hashes in one order for all texts, so many that any two texts alike by the threshold share one of them."""
+    n = len(text_hashes)
+    needed = int(np.ceil(threshold * n - 1e-9))
+    return text_hashes[np.argsort(_mixed(text_hashes, _seeds(1))[0])[: n - needed + 1]]
+
+
+def distinct_hashes(text: str | None, size: int) -> np.ndarray:
     blocks = [*shingle_hashes(text, size)]
-    if not blocks:
+    return np.unique(np.concatenate(blocks).astype(np.uint64)) if blocks else np.empty(0, np.uint64)
+
+
+def sampled_fingerprints(hashes: np.ndarray, samples: int, shingles: int) -> np.ndarray:
+    """SimHash fingerprints of ``samples`` samples of a text's distinct shingles, each the ``shingles`` that come first in an order of its own."""
+    if not len(hashes):
         return np.empty(0, np.uint64)
-    hashes = np.unique(np.concatenate(blocks).astype(np.uint64))
+    seeds = _seeds(samples)
     picked = np.empty((samples, min(shingles, len(hashes))), np.uint64)
     for low in range(0, samples, step := max(1, (1 << 20) // len(hashes))):
-        orders = hashes[None] * _ORDERS[low : min(low + step, samples), None]
+        orders = _mixed(hashes, seeds[low : low + step])
         first = np.argpartition(orders, shingles - 1, axis=1)[:, :shingles] if len(hashes) > shingles else np.broadcast_to(np.arange(len(hashes)), orders.shape)
         picked[low : low + step] = hashes[first]
     bits = np.unpackbits(picked.astype(">u8").view(np.uint8).reshape(samples, -1, 8), axis=2)
@@ -74,6 +94,6 @@ def sampled_fingerprints(text: str | None, size: int, samples: int, shingles: in
 
 def similarity(a: str | None, b: str | None, size: int) -> float:
     """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
-    x, y = (np.unique(np.concatenate(blocks)) if (blocks := [*shingle_hashes(t, size)]) else np.empty(0, np.uint64) for t in (a, b))
+    x, y = (distinct_hashes(t, size) for t in (a, b))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0

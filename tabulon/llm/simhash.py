@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import delete, words, written
 from tabulon.llm.components import components
-from tabulon.llm.fingerprints import sampled_fingerprints, similarity, with_fingerprints
+from tabulon.llm.fingerprints import distinct_hashes, prefix, sampled_fingerprints, similarity, with_fingerprints
 
 BITS = 64
 BUDGET = 2
@@ -221,14 +221,28 @@ def grouped(spark, docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 #: Samples of a text's shingles, shingles in each, and words in a shingle, for ``similar_groups``.
-SAMPLES = 16
+SAMPLES = 18
 SAMPLED = 4
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Texts of so many distinct shingles or fewer, whose samples agree less often, are found by exact prefixes.
+SHORT = 20
 
 
-def _signatures(df: DataFrame, size: int) -> DataFrame:
-    """(doc_id, h1, h2, prints): two hashes of a text's words, and the fingerprints of its samples."""
+def path_keys(text: str | None, size: int, threshold: float) -> tuple[list[int], list[int]]:
+    """(sample, fingerprint) of each path of a text.  Two texts alike by the threshold share one surely if one of them is short, else but for one time in 5,000 at 0.8.
+
+    A pair with a short text has no text beyond SHORT / threshold, so that up to there both get the
+    shingles of their prefixes, as sample -1; beyond ``SHORT`` texts get samples.
+    """
+    hashes = distinct_hashes(text, size)
+    short = prefix(hashes, threshold) if 0 < len(hashes) <= SHORT / threshold else hashes[:0]
+    prints = sampled_fingerprints(hashes, SAMPLES, SAMPLED) if len(hashes) > SHORT else hashes[:0]
+    return [-1] * len(short) + [*range(len(prints))], np.concatenate([short, prints]).view(np.int64).tolist()
+
+
+def _signatures(df: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_id, h1, h2, samples, prints): two hashes of a text's words, and its paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,10 +251,10 @@ def _signatures(df: DataFrame, size: int) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 joined = [b" ".join(words(t)) for t in texts]
                 columns = [part.column(0), *(pa.array([xxhash.xxh64_intdigest(j, seed) for j in joined], pa.uint64()).view(pa.int64()) for seed in (1, 2))]
-                prints = [sampled_fingerprints(t, size, SAMPLES, SAMPLED).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "prints"])
+                samples, prints = zip(*(path_keys(t, size, threshold) for t in texts), strict=True)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(samples, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "samples", "prints"])
 
-    return df.mapInArrow(run, "doc_id long, h1 long, h2 long, prints array<long>")
+    return df.mapInArrow(run, "doc_id long, h1 long, h2 long, samples array<int>, prints array<long>")
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
@@ -248,15 +262,16 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
     Texts this alike differ in about ten of 64 bits, too many for a trie's budget to prune by.  So each
     text gets ``SAMPLES`` fingerprints, each of ``SAMPLED`` shingles that come first in an order of its
-    own: two texts alike by 0.8 share one of these but for one in 5,000.  Where the tries' paths of two
+    own, independent of the others: two texts alike by 0.8 share one of these but for one in 5,000.
+    Short texts get single shingles by which they cannot miss each other (``path_keys``).  Where the tries' paths of two
     fingerprints are the same (a budget of no bits), the texts are compared: each with the least
     doc_id at the end of its path, by their whole sets of shingles.  Copies meet beforehand.
     """
     spark = df.sparkSession
     rows = df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
-    signed, _ = written(_signatures(rows, size), "signatures")
-    classes, classes_path = written(signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value("prints").alias("prints")), "classes")
-    prints = classes.select("doc", F.posexplode("prints").alias("sample", "fp"))
+    signed, _ = written(_signatures(rows, size, threshold), "signatures")
+    classes, classes_path = written(signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value(F.arrays_zip("samples", "prints")).alias("paths")), "classes")
+    prints = classes.select("doc", F.explode("paths").alias("p")).select("doc", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
     ends, ends_path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "path-ends")
     pairs, pairs_path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first").select("doc", "first").distinct(), "pairs")
     one = pairs.join(rows.withColumnRenamed("text", "a"), pairs["doc"] == F.col("doc_id")).select("doc", "first", "a")

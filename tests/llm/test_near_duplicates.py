@@ -79,6 +79,19 @@ def test_groups(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+
+
+@pytest.mark.parametrize(("both", "own"), [(4, 1), (8, 2), (16, 4), (40, 10)])
+def test_pairs_just_alike_are_joined(spark, both, own):
+    texts = []
+    for k in range(200):
+        words = [f"{k}w{i}" for i in range(both + own)]
+        texts += [" ".join(words[: both + own // 2]), " ".join(words[:both] + words[both + own // 2 :])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, size=1).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_pipeline(spark, tmp_path):
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
