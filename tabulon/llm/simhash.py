@@ -227,6 +227,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Texts of so many distinct shingles or fewer, whose samples agree less often, are found by exact prefixes.
 SHORT = 20
+#: Texts and characters in a block of a path whose texts are all compared.
+BLOCK_ROWS = 256
+BLOCK_CHARS = 1_000_000
 
 
 def path_keys(text: str | None, size: int, threshold: float) -> tuple[list[int], list[int]]:
@@ -257,6 +260,54 @@ def _signatures(df: DataFrame, size: int, threshold: float) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, h1 long, h2 long, samples array<int>, prints array<long>")
 
 
+def _alike_in_block(size: int, threshold: float):
+    def run(block: pa.Table) -> pa.Table:
+        docs, parts = (np.asarray(block.column(name)) for name in ("doc", "component"))
+        child = root = np.empty(0, np.int64)
+        if (parts != parts[0]).any():
+            sets = [distinct_hashes(t, size) for t in block.column("text").to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            owner = np.repeat(np.arange(len(sets)), n)
+            _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            shared = count > 1  # only these count in an overlap
+            owner, column = owner[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+            both = np.zeros((len(sets), len(sets)))
+            step = max(1, (1 << 24) // len(sets))
+            by_column = np.argsort(column, kind="stable")
+            owner, column = owner[by_column], column[by_column]
+            for low in range(0, int(shared.sum()), step):
+                a, b = np.searchsorted(column, (low, low + step))
+                has = np.zeros((len(sets), min(step, int(shared.sum()) - low)), np.float32)
+                has[owner[a:b], column[a:b] - low] = 1
+                both += has @ has.T
+            either = n[:, None] + n[None] - both
+            i, j = np.nonzero(np.triu((both / np.maximum(either, 1) >= threshold) & (parts[:, None] != parts[None]), 1))
+            labels = unite(np.arange(len(sets)), i, j)
+            child = np.flatnonzero(labels != np.arange(len(labels)))
+            child, root = docs[child], docs[labels[child]]
+        return pa.table({"a": pa.array(child, pa.int64()), "b": pa.array(root, pa.int64())})
+
+    return run
+
+
+def _rest(others: DataFrame, labels: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(a, b) links among the texts of a path besides its first, where ``labels`` leave these in several components.
+
+    All texts of such a path are compared, in pairs of blocks of about ``BLOCK_ROWS`` texts and
+    ``BLOCK_CHARS`` characters, each pair in a group of its own.  Paths with the same texts count once.
+    """
+    chars = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    at = others.join(labels, others["doc"] == labels["node"], "left").select("sample", "fp", "doc", F.coalesce("component", "doc").alias("component"))
+    paths = at.groupBy("sample", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("docs"))
+    open_ = paths.where("low <> high").groupBy("n", "docs").agg(F.min(F.struct("sample", "fp")).alias("p")).select("p.*")
+    members, _ = written(at.join(open_, ["sample", "fp"], "left_semi").join(chars, F.col("doc") == chars["doc_id"]).drop("doc_id"), "open-paths")
+    blocks = members.groupBy("sample", "fp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS, F.lit(1.0))).cast("long").alias("blocks"))
+    dealt = members.join(blocks, ["sample", "fp"]).withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("sample", "fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "component")
+    texts = dealt.join(rows, dealt["doc"] == rows["doc_id"]).drop("doc_id")
+    return texts.groupBy("sample", "fp", "x", "y").applyInArrow(_alike_in_block(size, threshold), "a long, b long")
+
+
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose sets of shingles are alike by the threshold.
 
@@ -264,8 +315,9 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     text gets ``SAMPLES`` fingerprints, each of ``SAMPLED`` shingles that come first in an order of its
     own, independent of the others: two texts alike by 0.8 share one of these but for one in 5,000.
     Short texts get single shingles by which they cannot miss each other (``path_keys``).  Where the tries' paths of two
-    fingerprints are the same (a budget of no bits), the texts are compared: each with the least
-    doc_id at the end of its path, by their whole sets of shingles.  Copies meet beforehand.
+    fingerprints are the same (a budget of no bits), the texts are compared by their whole sets of
+    shingles: each with the least doc_id at the end of its path, and then, where this leaves several
+    components among the others there, all of these with each other.  Copies meet beforehand.
     """
     spark = df.sparkSession
     rows = df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
@@ -273,7 +325,8 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     classes, classes_path = written(signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value(F.arrays_zip("samples", "prints")).alias("paths")), "classes")
     prints = classes.select("doc", F.explode("paths").alias("p")).select("doc", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
     ends, ends_path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "path-ends")
-    pairs, pairs_path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first").select("doc", "first").distinct(), "pairs")
+    others, others_path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first"), "path-others")
+    pairs, pairs_path = written(others.select("doc", "first").distinct(), "pairs")
     one = pairs.join(rows.withColumnRenamed("text", "a"), pairs["doc"] == F.col("doc_id")).select("doc", "first", "a")
     both = one.join(rows.withColumnRenamed("text", "b"), one["first"] == F.col("doc_id")).select("doc", "first", "a", "b")
 
@@ -283,9 +336,11 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    labels = components(both.mapInArrow(alike, "a long, b long"), "a", "b")
+    found, found_path = written(both.mapInArrow(alike, "a long, b long"), "links")
+    rest = _rest(others, components(found, "a", "b"), rows, size, threshold)
+    labels = components(found.unionByName(rest), "a", "b")
     named, _ = written(classes.join(labels, classes["doc"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id")), "components")
-    delete(spark, classes_path, ends_path, pairs_path)
+    delete(spark, classes_path, ends_path, others_path, pairs_path, found_path)
     return signed.join(named, ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

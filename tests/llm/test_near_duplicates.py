@@ -79,6 +79,10 @@ def test_groups(spark):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def groups_by_definition(texts):
+    sets = [set(t.split()) for t in texts]
+    i, j = np.array([(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]).T
+    return dict(enumerate(simhash.unite(np.arange(len(sets)), i, j).tolist()))
 
 
 @pytest.mark.parametrize(("both", "own"), [(4, 1), (8, 2), (16, 4), (40, 10)])
@@ -92,6 +96,19 @@ def test_pairs_just_alike_are_joined(spark, both, own):
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [256, 30])
+def test_groups_around_a_common_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block, raising=False)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"{k}h{i}" for i in range(9)]) for k in range(20)]
+    for k in range(150):
+        words = [f"{k}w{i}" for i in range(12)]
+        texts += [" ".join(passage + words[:9]), " ".join(passage + words[:6] + words[9:])]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, size=1).collect()}
+    assert got == groups_by_definition(texts)
+
+
 def test_pipeline(spark, tmp_path):
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
