@@ -5,17 +5,24 @@ one of MacKay and Peto: with the base p1(w) = (c(w) + 1) / (N + V + 1),
 
     p(w | h) = (c(h w) + mu * p(w | h')) / (c(h) + mu),   h' being h without its first token.
 
-As an automaton: a state is a context seen in training; an arc for each seen n-gram carries its
-smoothed probability; the failure arc, for all else, carries mu / (c(h) + mu) and leads to the state
-of h'.  A text is read once from left to right; the state is the longest seen context of what was
-read, and the arcs' log-probabilities add up.  Texts start in the state of a start mark.
+The automaton (``Automaton``) has a state for each context seen in training, of up to order - 1
+tokens, and one for none.  An arc leaves a state for each token seen after it; it carries the
+smoothed log-probability and leads to the state of the longest seen context that then holds.  The
+failure arc is taken where no arc has the token: it carries log10(mu / (c(h) + mu)), reads nothing
+and leads to the state of h'.  A text starts in the state of a start mark and is read once from left
+to right: the traversal carries the state and adds up what it passes.  As no state looks back over
+more than order - 1 tokens, a long text is read by several traversals at the same time, each of
+which first reads the order - 1 tokens before its own without adding them.
 
 Counts cover all of the training text.  Documents are turned into chunks: token numbers and the
 hashes of their distinct words.  A chunk asks for the counts of its distinct n-grams; requests, with
-the chunk's own training counts, are dealt by the n-gram's hash to shards, where equal n-grams of all
-chunks meet and are summed, and the totals go back to the chunks that asked.  So no task holds the
-model, a frequent word or n-gram comes once from each chunk, and only two totals, N and V, reach the
-driver.  Words and n-grams are known by 64-bit hashes.
+the chunk's own training counts, are dealt by ranges of the n-grams' hashes to shards, where equal
+n-grams of all chunks meet and are summed, and the totals go back to the chunks that asked, each of
+which builds the part of the automaton that its texts can reach.  So no task holds the model, a
+frequent n-gram comes once from each chunk, and only two totals, N and V, reach the driver.  A
+request or reply has at least one n-gram, so there are never more of them than n-grams.  Words are
+known by 64-bit hashes; longer n-grams by as many bits as give an unseen one a chance of at most one
+in 2 ** ``SPARE_BITS`` to be taken for a seen one.
 
 Defined cases: a null text is an empty one: its only token is the end.  A null doc_id counts as an
 empty text when it is drawn for training.  Repeated rows count as often as they occur.  Without
@@ -29,111 +36,197 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, written, words
+from tabulon.llm.common import delete, words, written
 
-ORDER = 2
-MU = 300.0
-CHUNK_TOKENS = 1 << 21
+ORDER = 4
+#: mu of the contexts of one, two and three tokens.
+MU = (500.0, 20.0, 5.0)
+CHUNK_TOKENS = 1 << 20
 SHARD_KEYS = 1 << 20
 LEAST_SHARDS = 256
+SPARE_BITS = 16
+SEGMENT = 512
 #: No word holds a blank.
 _END, _START = (xxhash.xxh64_intdigest(mark) for mark in (b" ", b"  "))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Unsigned integers in the narrowest of 1, 2, 4 and 8 bytes, the first byte saying which."""
+    """Unsigned integers as planes of their bytes, compressed; the first byte is the number of planes."""
     top = int(values.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    width = max(1, -(-top.bit_length() // 8))
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in ascending order, and the place of each code among them."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    return distinct, place.reshape(-1)
 
 
 class Chunk:
     """Documents as numbers of their distinct words; number 0 is the end, 1 the start mark."""
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, held_out: np.ndarray, order: int) -> None:
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, tokens: np.ndarray, held_out: np.ndarray, order: int, bits: int) -> None:
         self.hashes, self.lengths, self.tokens, self.order = hashes, lengths, tokens.astype(np.int64), order
-        starts = np.cumsum(lengths) - lengths
+        self.starts = np.cumsum(lengths) - lengths
         self.trained = np.repeat(~held_out, lengths)
-        #: For each order: the n-gram at each token (-1: the text is too short before it), and the hashes of the distinct ones.
-        self.places: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
         size = len(hashes)
-        distinct, place = np.unique(self.tokens, return_inverse=True)
-        self.places.append(place.reshape(-1))
-        self.keys.append(hashes[distinct])
-        history, history_keys = self.tokens, hashes
+        #: For each order: the n-gram at each token (-1: the text is too short before it), and of the distinct ones, ascending
+        #: by context and token: context * size + token, the n-gram without its first token, and the hash.
+        #: Order 1 has all words of the chunk and both marks; for order 2 the start mark is a context.
+        self.places: list[np.ndarray] = [self.tokens]
+        self.codes: list[np.ndarray] = [np.arange(size)]
+        self.shorter: list[np.ndarray] = [np.zeros(size, np.int64)]
+        self.keys: list[np.ndarray] = [hashes]
+        full = hashes
         for k in range(2, order + 1):
             before = np.full(len(tokens), -1, np.int64)
-            before[1:] = history[:-1]
-            before[starts] = 1 if k == 2 else -1
-            code = np.where(before >= 0, before * size + self.tokens, -1)
-            distinct, place = np.unique(code, return_inverse=True)
-            place, absent = place.reshape(-1), int(len(distinct) and distinct[0] < 0)
-            distinct, place = distinct[absent:], place - absent
-            keys = (history_keys[distinct // size] * _MIX ^ (history_keys[distinct // size] >> np.uint64(29))) + hashes[distinct % size] * np.uint64(2 * k + 1)
+            before[1:] = self.places[-1][:-1]
+            before[self.starts] = 1 if k == 2 else -1
+            code, place = _numbered(np.where(before >= 0, before * size + self.tokens, -1))
+            absent = int(len(code) and code[0] < 0)
+            code, place = code[absent:], place - absent
+            shorter = np.zeros(len(code), np.int64)
+            shorter[place[place >= 0]] = self.places[-1][place >= 0]
+            full = (full[code // size] * _MIX ^ (full[code // size] >> np.uint64(29))) + hashes[code % size] * np.uint64(2 * k + 1)
+            full ^= full >> np.uint64(32)
             self.places.append(place)
-            self.keys.append(keys ^ keys >> np.uint64(32))
-            history, history_keys = place, self.keys[-1]
-        self.starts = starts
+            self.codes.append(code)
+            self.shorter.append(shorter)
+            self.keys.append(full * _MIX >> np.uint64(64 - bits))
 
     def counts(self, k: int) -> np.ndarray:
         """How often each distinct n-gram of order k occurs in this chunk's training text."""
         place = self.places[k - 1][self.trained]
         return np.bincount(place[place >= 0], minlength=len(self.keys[k - 1]))
 
-    def walk(self, totals: list[np.ndarray], n: int, v: int, documents: int, mu: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known tokens, base score, score) of each document; totals are the corpus counts of the distinct n-grams.
-
-        All texts are walked at once: the state before a token is given by the tokens before it.
-        """
-        at = totals[0][self.places[0]].astype(np.float64)
-        base = (at + 1) / (n + v + 1)
-        p = base
-        context = np.zeros(len(at))
-        context[1:] = at[:-1]
-        context[self.starts] = documents
-        for k in range(2, self.order + 1):
-            place = self.places[k - 1]
-            seen = np.append(totals[k - 1], 0)[place].astype(np.float64)  # -1 takes the 0 at the end
-            arc = (seen + mu * p) / (context + mu)
-            p = np.where(context > 0, np.where(seen > 0, arc, mu / (context + mu) * p), p)
-            following = np.zeros(len(at))
-            following[1:] = seen[:-1]
-            following[self.starts] = 0
-            context = following
-        return tuple(np.add.reduceat(x, self.starts) if len(x) else np.zeros(0) for x in ((at > 0).astype(np.int64), np.log10(base), np.log10(p)))
+    def dealt(self, k: int, shards: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the n-grams of order k by key, the shards that have any, and their bounds among these places."""
+        order = np.argsort(self.keys[k - 1], kind="stable")
+        width = (64 if k == 1 else bits) - (shards - 1).bit_length()
+        shard = self.keys[k - 1][order] >> np.uint64(max(0, width))
+        first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, np.int64)
+        return order, shard[first].astype(np.int64), np.append(first, len(shard))
+
+
+class Automaton:
+    """The states and arcs that the texts of a chunk can reach.  State 0 has no context.
+
+    ``totals`` are the training counts of the chunk's distinct n-grams, by order; ``n`` and ``v`` count
+    the training tokens and the distinct ones, ``documents`` the training texts.
+    """
+
+    def __init__(self, chunk: Chunk, totals: list[np.ndarray], n: int, v: int, documents: int, mu: tuple[float, ...]) -> None:
+        self.size = size = len(chunk.hashes)
+        contexts = totals[0].copy()
+        contexts[1] = documents
+        p = (totals[0] + 1.0) / (n + v + 1)
+        #: Of each n-gram: its state as a context (0: not seen), and the state of the longest seen context that it ends with.
+        state = reach = np.zeros(1, np.int64)
+        fail, weight, made = [state], [np.zeros(1)], 1
+        keys, arcs, targets = [], [], []
+        for k in range(1, chunk.order + 1):
+            code, shorter = chunk.codes[k - 1], chunk.shorter[k - 1]
+            if k == 1:
+                seen = np.ones(size, bool)  # without a context every token has an arc
+            else:
+                before = code // size
+                seen = (totals[k - 1] > 0) & (contexts[before] > 0)
+                p = (totals[k - 1] + mu[k - 2] * p[shorter]) / (contexts[before] + mu[k - 2])
+                contexts = np.where(seen, totals[k - 1], 0)
+            keys.append((code if k == 1 else state[before] * size + code % size)[seen])
+            arcs.append(np.log10(p[seen]))
+            below = reach[shorter]
+            if k < chunk.order:
+                kept = np.flatnonzero(contexts)
+                state = np.zeros(len(code), np.int64)
+                state[kept] = made + np.arange(len(kept))
+                made += len(kept)
+                fail.append(below[kept])
+                weight.append(np.log10(mu[k - 1] / (contexts[kept] + mu[k - 1])))
+                reach = np.where(state > 0, state, below)
+                if k == 1:
+                    self.start = int(state[1])
+            else:
+                reach = below
+            targets.append(reach[seen])
+        if chunk.order == 1:
+            self.start = 0
+        self.fail, self.weight = np.concatenate(fail), np.concatenate(weight)
+        self.keys, self.arcs, self.targets = np.concatenate(keys), np.concatenate(arcs), np.concatenate(targets)
+
+    def walk(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token read in each of several traversals: what it adds, and the states after it."""
+        states, sums = states.copy(), np.zeros(len(states))
+        at = np.empty(len(states), np.int64)
+        todo = np.arange(len(states))
+        while len(todo):
+            asked = states[todo] * self.size + tokens[todo]
+            places = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            found = self.keys[places] == asked
+            at[todo[found]] = places[found]
+            todo = todo[~found]
+            sums[todo] += self.weight[states[todo]]
+            states[todo] = self.fail[states[todo]]
+        return sums + self.arcs[at], self.targets[at]
+
+    def scores(self, chunk: Chunk, segment: int = SEGMENT) -> np.ndarray:
+        """The log10 probability of each text of the chunk."""
+        pieces = -(-chunk.lengths // segment)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        low = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * segment
+        high = np.minimum(low + segment, chunk.lengths[text])
+        first = np.maximum(low - (chunk.order - 1), 0)
+        by_length = np.argsort(first - high, kind="stable")
+        text, low, high, first = (x[by_length] for x in (text, low, high, first))
+        place, skip, left = chunk.starts[text] + first, low - first, high - first
+        states = np.where(first == 0, self.start, 0)
+        sums = np.zeros(len(text))
+        running = len(text)
+        for step in range(int(left.max(initial=0))):
+            running = int(np.searchsorted(-left[:running], -step, side="left"))
+            added, states[:running] = self.walk(states[:running], chunk.tokens[place[:running] + step])
+            sums[:running] += np.where(skip[:running] <= step, added, 0)
+        return np.bincount(text, sums, len(pieces))
 
 
 def chunks(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """(chunk, n_tokens, doc_ids, held_out, lengths, hashes, tokens) of (doc_id, text) rows."""
+    """(chunk, n_tokens, doc_ids, held_out, lengths, hashes, tokens) of (doc_id, text) rows; words are numbered by falling frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         made = 0
 
-        def fresh() -> None:
-            nonlocal numbers, hashes, names, held, lengths, tokens, size
-            numbers, hashes = {}, [_END, _START]
-            names, held, lengths, tokens, size = [], [], [], [], 0
-
         def out() -> pa.RecordBatch:
             nonlocal made
             made += 1
-            columns = [[first + made], [size], [names], [bytes(held)], [_packed(np.array(lengths))], [np.array(hashes, "<u8").tobytes()], [_packed(np.concatenate(tokens))]]
+            all_tokens, known = np.concatenate(tokens), np.array(hashes, "<u8")
+            order = np.concatenate([[0, 1], 2 + np.argsort(-np.bincount(all_tokens, minlength=len(known))[2:], kind="stable")])
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            columns = [[first + made], [size], [names], [bytes(held)], [_packed(np.array(lengths))], [known[order].tobytes()], [_packed(number[all_tokens])]]
             schema = pa.schema([("chunk", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("held_out", "lengths", "hashes", "tokens"))])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        numbers, hashes, names, held, lengths, tokens, size = {}, [], [], [], [], [], 0
-        fresh()
+        numbers, hashes, names, held, lengths, tokens, size = {}, [_END, _START], [], [], [], [], 0
         for batch in batches:
             for doc_id, text, out_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = words(text)
@@ -148,7 +241,7 @@ def chunks(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS)
                 size += len(found) + 1
                 if size >= chunk_tokens:
                     yield out()
-                    fresh()
+                    numbers, hashes, names, held, lengths, tokens, size = {}, [_END, _START], [], [], [], [], 0
         if names:
             yield out()
 
@@ -156,33 +249,27 @@ def chunks(docs: DataFrame, held_out: Column, chunk_tokens: int = CHUNK_TOKENS)
     return rows.mapInArrow(run, "chunk long, n_tokens long, doc_ids array<long>, held_out binary, lengths binary, hashes binary, tokens binary")
 
 
-def _chunk(row: dict, order: int) -> Chunk:
+def _chunk(row: dict, order: int, bits: int) -> Chunk:
     lengths = _unpacked(row["lengths"]).astype(np.int64)
-    return Chunk(np.frombuffer(row["hashes"], "<u8").astype(np.uint64), lengths, _unpacked(row["tokens"]), np.frombuffer(row["held_out"], np.uint8).astype(bool), order)
-
-
-def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys by shard, and where each shard's begin."""
-    shard = (keys >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    return Chunk(np.frombuffer(row["hashes"], "<u8").astype(np.uint64), lengths, _unpacked(row["tokens"]), np.frombuffer(row["held_out"], np.uint8).astype(bool), order, bits)
 
 
-def requests(table: DataFrame, order: int, shards: int) -> DataFrame:
+def requests(table: DataFrame, order: int, shards: int, bits: int) -> DataFrame:
     """(shard, level, chunk, keys, counts): each chunk's distinct n-grams with its own training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _chunk(row, order)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                chunk = _chunk(row, order, bits)
                 for k in range(1, order + 1):
-                    keys, counts = chunk.keys[k - 1], chunk.counts(k)
-                    at, bounds = _dealt(keys, shards)
-                    parts = [(s, at[a:b]) for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-                    for low in range(0, len(parts), 1024):
-                        some = parts[low : low + 1024]
-                        columns = [pa.array([s for s, _ in some], pa.int64()), pa.array([k] * len(some), pa.int64()), pa.array([row["chunk"]] * len(some), pa.int64())]
-                        columns += [pa.array([keys[p].astype("<u8").tobytes() for _, p in some]), pa.array([_packed(counts[p]) for _, p in some])]
+                    places, named, bounds = chunk.dealt(k, shards, bits)
+                    keys, counts = chunk.keys[k - 1][places], chunk.counts(k)[places]
+                    for low in range(0, len(named), 1024):
+                        some = range(low, min(low + 1024, len(named)))
+                        parts = [slice(bounds[s], bounds[s + 1]) for s in some]
+                        columns = [pa.array(named[low : low + 1024]), pa.array([k] * len(parts), pa.int64()), pa.array([row["chunk"]] * len(parts), pa.int64())]
+                        columns += [pa.array([_packed(_steps(keys[p])) for p in parts]), pa.array([_packed(counts[p]) for p in parts])]
                         yield pa.RecordBatch.from_arrays(columns, ["shard", "level", "chunk", "keys", "counts"])
 
     return table.mapInArrow(run, "shard long, level long, chunk long, keys binary, counts binary")
@@ -193,12 +280,12 @@ def totals(asked: DataFrame) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("level", pa.int64()), ("shard", pa.int64()), ("counts", pa.binary())])
 
     def summed(shard: tuple[int, int], held: list[tuple]) -> pa.RecordBatch:
-        keys = [np.frombuffer(h[3], "<u8") for h in held]
+        keys = [np.cumsum(_unpacked(h[3]), dtype=np.uint64) for h in held]
         own = np.concatenate([_unpacked(h[4]) for h in held]).astype(np.float64)
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(place.reshape(-1), own, len(distinct)).astype(np.int64)
+        distinct, place = _numbered(np.concatenate(keys))
+        count = np.bincount(place, own, len(distinct)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
-        found = count[place.reshape(-1)]
+        found = count[place]
         replies = [(h[2], shard[1], shard[0], _packed(found[e - len(k) : e])) for h, k, e in zip(held, keys, ends.tolist(), strict=True)]
         replies.append((None, shard[1], shard[0], _packed(np.array([count.sum(), np.count_nonzero(count)]))))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*replies, strict=True), schema, strict=True)], schema=schema)
@@ -218,13 +305,14 @@ def totals(asked: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "chunk long, level long, shard long, counts binary")
 
 
-def score(docs: DataFrame, held_out: Column, order: int = ORDER, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER, mu: tuple[float, ...] = MU, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of (doc_id, text) rows, learned from those not held out."""
     spark = docs.sparkSession
-    table, table_path = written(chunks(docs, held_out), "chunks")
+    table, table_path = written(chunks(docs, held_out, chunk_tokens), "chunks")
     facts = table.agg(F.sum("n_tokens").alias("n")).first()
-    shards = max(LEAST_SHARDS, -(-(facts.n or 0) * order // SHARD_KEYS))
-    replies, replies_path = written(totals(requests(table, order, shards)), "totals")
+    shards = 1 << (max(LEAST_SHARDS, -(-(facts.n or 0) * order // SHARD_KEYS)) - 1).bit_length()
+    bits = min(64, max(1, facts.n or 0).bit_length() + SPARE_BITS)
+    replies, replies_path = written(totals(requests(table, order, shards, bits)), "totals")
     sums = replies.where("chunk is null and level = 1").mapInArrow(_sums, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
     documents = docs.where(~held_out).count()
@@ -232,20 +320,28 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, mu: float = MU)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, names, held, found = None, [], [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 if row["level"] == 0:
                     if chunk is not None:
                         yield walked(chunk, names, held, found)
-                    chunk, names, held = _chunk(row, order), row["doc_ids"], np.frombuffer(row["held_out"], np.uint8).astype(bool)
-                    found = [(np.zeros(len(keys), np.int64), *_dealt(keys, shards)) for keys in chunk.keys]
+                    chunk, names, held = _chunk(row, order, bits), row["doc_ids"], np.frombuffer(row["held_out"], np.uint8).astype(bool)
+                    found = [np.zeros(len(keys), np.int64) for keys in chunk.keys]
+                    level, filled = 0, 0
                 elif chunk is not None:
-                    counts, at, bounds = found[row["level"] - 1]
-                    counts[at[bounds[row["shard"]] : bounds[row["shard"] + 1]]] = _unpacked(row["counts"])
+                    if row["level"] != level:
+                        level, filled = row["level"], 0
+                        places = chunk.dealt(level, shards, bits)[0]
+                    counts = _unpacked(row["counts"])  # a chunk's shards come in ascending order, none is left out
+                    found[level - 1][places[filled : filled + len(counts)]] = counts
+                    filled += len(counts)
         if chunk is not None:
             yield walked(chunk, names, held, found)
 
-    def walked(chunk: Chunk, names: list, held: np.ndarray, found: list) -> pa.RecordBatch:
-        known, base, scores = chunk.walk([f[0] for f in found], n, v, documents, mu)
+    def walked(chunk: Chunk, names: list, held: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+        scores = Automaton(chunk, found, n, v, documents, mu).scores(chunk)
+        at = found[0][chunk.tokens]
+        known, base = (np.add.reduceat(x, chunk.starts) for x in ((at > 0).astype(np.int64), np.log10((at + 1.0) / (n + v + 1))))
         columns = [pa.array(names, pa.int64()), pa.array(held), pa.array(chunk.lengths), pa.array(known), pa.array(np.full(len(names), n)), pa.array(base), pa.array(scores)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 

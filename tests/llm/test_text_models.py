@@ -142,12 +142,12 @@ def test_a_long_text_leaves_the_others_in_the_training_set(spark, monkeypatch):
     assert [len(r.text) for r in alone] == [300]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_against_their_definition(spark, order):
     texts = ["a b a", "A b c", None, "", "a b a b d", "b", "x " * 500, "\ta\x0bb\n"]
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
     mu = 3.0
-    got = {r.doc_id: r for r in backoff_lm.score(docs, crc_of_id("doc_id") % 7 == 2, order, mu).collect()}
+    got = {r.doc_id: r for r in backoff_lm.score(docs, crc_of_id("doc_id") % 7 == 2, order, (mu,) * (order - 1)).collect()}
     trained = [zlib.crc32(str(k).encode()) % 7 != 2 for k in range(len(texts))]
     marked = [["<s>", *words(x), "</s>"] for x in texts]
     one = Counter(w for m, use in zip(marked, trained, strict=True) if use for w in m[1:])
@@ -171,6 +171,21 @@ def test_scores_against_their_definition(spark, order):
         assert r.score == pytest.approx(sum(math.log10(p(m[i], m[:i], order)) for i in range(1, len(m))))
 
 
+def test_long_texts_are_read_in_segments_alike():
+    rng = np.random.default_rng(5)
+    lengths = np.array([400, 1, 7, 300, 2])
+    tokens = rng.integers(2, 9, lengths.sum())
+    tokens[np.cumsum(lengths) - 1] = 0
+    held_out = np.array([False, False, True, True, False])
+    chunk = backoff_lm.Chunk(rng.integers(1, 1 << 60, 9).astype(np.uint64), lengths, tokens, held_out, 4, 40)
+    totals = [chunk.counts(k) for k in range(1, 5)]
+    machine = backoff_lm.Automaton(chunk, totals, int(totals[0].sum()), int((totals[0] > 0).sum()), 3, (5.0, 2.0, 1.0))
+    whole = machine.scores(chunk, 1000)
+    assert (machine.fail[1:] < np.arange(1, len(machine.fail))).all()  # failures lead to shorter contexts
+    for segment in (1, 2, 5, 64):
+        assert machine.scores(chunk, segment) == pytest.approx(whole)
+
+
 def test_scores_of_nothing_and_of_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert backoff_lm.score(docs.limit(0), crc_of_id("doc_id") % 7 == 2).collect() == []
