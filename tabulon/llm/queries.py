@@ -18,6 +18,13 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def byte_pairs(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """The place of a public file of byte pairs, and the pattern that cuts texts for it."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -53,7 +60,7 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.places(packing.pack_documents(table(spark, sf_dir, "documents"), *byte_pairs()))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """WARC, token files, packing, exact and approximate search."""
 
 import itertools
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import ball_tree, ivf_pq, packing, page_archives, pfor, token_ids, warc
+from tabulon.llm import ball_tree, ivf_pq, packing, page_archives, pfor, queries, token_ids, warc
 
 
 def test_chunked_framing():
@@ -102,28 +103,59 @@ def test_buckets_pad_least():
     rng = np.random.default_rng(0)
     for _ in range(200):
         n, k = int(rng.integers(1, 9)), int(rng.integers(1, 6))
-        lengths, counts = np.sort(rng.choice(60, n, replace=False)).astype(float), rng.integers(1, 9, n).astype(float)
+        lengths, counts = np.sort(rng.choice(60, n, replace=False)), rng.integers(1, 9, n)
         cost = lambda bounds: sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts, strict=True))  # noqa: B023, E731
         chosen = packing.choose(lengths, counts, k)
         assert len(chosen) <= k
         assert cost(chosen) == min(cost((*x, lengths[-1])) for r in range(min(k, n)) for x in itertools.combinations(lengths[:-1], r))
 
 
-def test_packing(spark):
-    rows = [(k, "w " * (k % 50)) for k in range(400)] + [(None, None), (7, "x"), (7, "x"), (900, "y " * 5000)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int")
-    got = packing.pack_documents(docs, 4, 256).collect()
-    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+def least_padding(lengths, buckets):
+    """The least padded size by the plain quadratic programme."""
+    distinct = sorted(set(lengths))
+    rows = [0, *itertools.accumulate(lengths.count(x) for x in distinct)]
+    cost = [0] + [math.inf] * len(distinct)
+    for _ in range(buckets):
+        cost = [min([cost[j], *(cost[i] + distinct[j - 1] * (rows[j] - rows[i]) for i in range(j))]) for j in range(len(cost))]
+    return cost[-1]
+
+
+def test_buckets_pad_least_at_any_length():
+    rng = np.random.default_rng(2)
+    lengths = np.concatenate([rng.integers(0, 300, 400), rng.integers(1000, 6000, 300), [90_000]]).tolist()
+    distinct, counts = np.unique(lengths, return_counts=True)
+    chosen = packing.choose(distinct, counts, 16)
+    assert len(chosen) == 16
+    assert sum(min(b for b in chosen if b >= x) for x in lengths) == least_padding(lengths, 16)
+
+
+@pytest.mark.parametrize("merged", [64, 2])
+def test_packing(spark, monkeypatch, merged):
+    import tiktoken
+
+    monkeypatch.setattr(packing, "MERGED", merged)
+    ranks, pattern = queries.byte_pairs()
+    rows = [(k, "word " * (k % 50)) for k in range(400)] + [(None, None), (7, "x"), (7, "x"), (900, "y " * 5000), (901, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int").repartition(5)
+    made = packing.pack_documents(docs, ranks, pattern, 4, 256)
+    got = packing.places(made).collect()
+    encode = packing.encoder(ranks, pattern)
+    known = sorted((str(i), len(encode(t or ""))) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == known
+    assert sum(r.bucket_length for r in got) == least_padding([n for _, n in known], 4)
     for bucket in {r.bucket for r in got}:
         own = [r for r in got if r.bucket == bucket]
         per = max(1, 256 // max(1, own[0].bucket_length))
         assert sorted(r.batch * per + r.slot for r in own) == [*range(len(own))]
-        assert all(r.n_tokens <= r.bucket_length and r.slot < per for r in own)
-    assert packing.pack_documents(docs.limit(0)).collect() == []
-    sizes = spark.createDataFrame([(x,) for x in (0, 1, 1023, 1024, 1025, 1026, 1027, 2049, 10**6)], "n long")
-    bins = [r[0] for r in sizes.select(packing.rounded(F.col("n"))).collect()]
-    assert bins[:6] == [0, 1, 1023, 1024, 1026, 1026]
-    assert all(x <= b <= x * (1 + 2 / packing.EXACT) for x, b in zip((0, 1, 1023, 1024, 1025, 1026, 1027, 2049, 10**6), bins, strict=True))
+        assert all(r.n_tokens <= r.bucket_length for r in own)
+    decoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=encode.__self__._mergeable_ranks, special_tokens={})
+    texts = []
+    for r in made.collect():
+        matrix = np.frombuffer(r.ids, "<u4").reshape(len(r.doc_ids), r.bucket_length)
+        texts += [(str(i), decoder.decode(line[:n].tolist())) for i, n, line in zip(r.doc_ids, r.n_tokens, matrix, strict=True)]
+        assert all((line[n:] == packing.PAD).all() for n, line in zip(r.n_tokens, matrix, strict=True))
+    assert sorted(texts) == sorted((str(i), t or "") for i, t in rows)
+    assert packing.pack_documents(docs.limit(0), ranks, pattern).collect() == []
 
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double"
