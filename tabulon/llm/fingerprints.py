@@ -65,6 +65,9 @@ def _seeds(n: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) for k in range(n)], np.uint64)
 
 
+_WIDE_SEEDS = ~_seeds(16)
+
+
 def prefix(text_hashes: np.ndarray, threshold: float) -> np.ndarray:
     """The first of a text's distinct hashes in one order for all texts, so many that any two texts alike by the threshold share one of them."""
     n = len(text_hashes)
@@ -92,6 +95,16 @@ def sampled_fingerprints(hashes: np.ndarray, samples: int, shingles: int) -> np.
     return np.packbits(2 * ones > picked.shape[1], axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
+def wide_fingerprint(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A SimHash fingerprint of ``width`` times 64 bits of a text's distinct shingles, each word from hashes of its own."""
+    ones = np.zeros((width, 64), np.int64)
+    for low in range(0, len(hashes), _BLOCK):
+        mixed = _mixed(hashes[low : low + _BLOCK], _WIDE_SEEDS[:width])
+        bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(width, -1, 8), axis=2)
+        ones += bits.sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
 def similarity(a: str | None, b: str | None, size: int) -> float:
     """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
     x, y = (distinct_hashes(t, size) for t in (a, b))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.common import delete, words, written
 from tabulon.llm.components import components
-from tabulon.llm.fingerprints import distinct_hashes, prefix, sampled_fingerprints, similarity, with_fingerprints
+from tabulon.llm.fingerprints import distinct_hashes, prefix, sampled_fingerprints, similarity, wide_fingerprint, with_fingerprints
 
 BITS = 64
 BUDGET = 2
@@ -44,10 +44,11 @@ def _ones(x: np.ndarray) -> np.ndarray:
 def join_tries(prints: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of fingerprints within ``budget`` bits, for pairs of trie roots.
 
-    ``prints`` (uint64) is sorted within each trie, which is a range of places.  A pair is (low,
+    ``prints`` (uint64, or rows of several as one long fingerprint) is sorted within each trie, which is a range of places.  A pair is (low,
     high) of the one trie, (low, high) of the other, and 0 bits spent; the same range twice stands
     for a trie with itself, whose pairs come once.
     """
+    prints = prints.reshape(len(prints), -1)
     stack = [(0, tuple(np.asarray(p, np.int64) for p in pairs))]
     while stack:
         depth, (a, b, c, d, spent) = stack.pop()
@@ -55,22 +56,22 @@ def join_tries(prints: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int) -
             half = len(a) // 2
             stack += [(depth, tuple(x[half:] for x in (a, b, c, d, spent))), (depth, tuple(x[:half] for x in (a, b, c, d, spent)))]
             continue
-        small = ((b - a) * (d - c) <= _LEAF) | (depth == BITS)
+        small = ((b - a) * (d - c) <= _LEAF) | (depth == BITS * prints.shape[1])
         if small.any():
             x, y, w = a[small], c[small], d[small] - c[small]
             size = (b[small] - x) * w
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             w = np.repeat(w, size)
             i, j = np.repeat(x, size) + at // w, np.repeat(y, size) + at % w
-            near = (_ones(prints[i] ^ prints[j]) <= budget) & ((np.repeat(x != y, size)) | (i < j))
+            near = (_ones(prints[i] ^ prints[j]).sum(axis=1) <= budget) & ((np.repeat(x != y, size)) | (i < j))
             yield i[near], j[near]
             a, b, c, d, spent = (x[~small] for x in (a, b, c, d, spent))
         if not len(a):
             continue
-        bit = np.uint64(BITS - 1 - depth)
-        ones = np.concatenate([[0], np.cumsum((prints >> bit & np.uint64(1)).astype(np.int64))]) if len(prints) < 4 * len(a) else None
+        word, bit = prints[:, depth // BITS], np.uint64(BITS - 1 - depth % BITS)
+        ones = np.concatenate([[0], np.cumsum((word >> bit & np.uint64(1)).astype(np.int64))]) if len(prints) < 4 * len(a) else None
         if ones is None:
-            mid_a, mid_b = _first_one(prints, a, b, depth), _first_one(prints, c, d, depth)
+            mid_a, mid_b = _first_one(word, a, b, bit), _first_one(word, c, d, bit)
         else:
             mid_a, mid_b = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
         self_pair = (a == c) & (b == d)
@@ -81,12 +82,12 @@ def join_tries(prints: np.ndarray, pairs: tuple[np.ndarray, ...], budget: int) -
         stack.append((depth + 1, tuple(x[live] for x in (a, b, c, d, spent))))
 
 
-def _first_one(prints: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
-    """The place in each range of the first fingerprint with a 1 at ``depth``, by bisection."""
-    low, high, bit = low.copy(), high.copy(), np.uint64(BITS - 1 - depth)
+def _first_one(word: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64) -> np.ndarray:
+    """The place in each range of the first fingerprint with a 1 at a bit, by bisection."""
+    low, high = low.copy(), high.copy()
     while (open_ := low < high).any():
         mid = (low + high) // 2
-        one = (prints[np.minimum(mid, len(prints) - 1)] >> bit & np.uint64(1)).astype(bool)
+        one = (word[np.minimum(mid, len(word) - 1)] >> bit & np.uint64(1)).astype(bool)
         high = np.where(open_ & one, mid, high)
         low = np.where(open_ & ~one, mid + 1, low)
     return low
@@ -227,45 +228,109 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Texts of so many distinct shingles or fewer, whose samples agree less often, are found by exact prefixes.
 SHORT = 20
-#: Texts and characters in a block of a path whose texts are all compared.
+#: Words of a long fingerprint, and the bits of it in which texts alike by 0.8 may differ: 48 are expected
+#: at most, with a deviation of 6.3 (four shingles out of five), and 39 for long texts.
+WIDTH = 4
+LONG_BUDGET = 74
+#: Texts and characters in a block of a cell whose texts are all compared.
 BLOCK_ROWS = 256
 BLOCK_CHARS = 1_000_000
 
 
-def path_keys(text: str | None, size: int, threshold: float) -> tuple[list[int], list[int]]:
-    """(sample, fingerprint) of each path of a text.  Two texts alike by the threshold share one surely if one of them is short, else but for one time in 5,000 at 0.8.
+def path_keys(hashes: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """(sample, fingerprint) of each cell of a text with these shingles.  Two texts alike by the threshold share one surely if one of them is short, else but for one time in 5,000 at 0.8.
 
     A pair with a short text has no text beyond SHORT / threshold, so that up to there both get the
     shingles of their prefixes, as sample -1; beyond ``SHORT`` texts get samples.
     """
-    hashes = distinct_hashes(text, size)
     short = prefix(hashes, threshold) if 0 < len(hashes) <= SHORT / threshold else hashes[:0]
     prints = sampled_fingerprints(hashes, SAMPLES, SAMPLED) if len(hashes) > SHORT else hashes[:0]
     return [-1] * len(short) + [*range(len(prints))], np.concatenate([short, prints]).view(np.int64).tolist()
 
 
-def _signatures(df: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(doc_id, h1, h2, samples, prints): two hashes of a text's words, and its paths."""
+def _signatures(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(doc_id, h1, h2, chars, samples, prints, long): a text's cells and its long fingerprint, of (doc_id, h1, h2, chars, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                texts = part.column(1).to_pylist()
-                joined = [b" ".join(words(t)) for t in texts]
-                columns = [part.column(0), *(pa.array([xxhash.xxh64_intdigest(j, seed) for j in joined], pa.uint64()).view(pa.int64()) for seed in (1, 2))]
-                samples, prints = zip(*(path_keys(t, size, threshold) for t in texts), strict=True)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(samples, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "samples", "prints"])
+                made: list[tuple] = []
+                for text in part.column(4).to_pylist():
+                    hashes = distinct_hashes(text, size)
+                    made.append((*path_keys(hashes, threshold), wide_fingerprint(hashes, WIDTH).astype("<u8").tobytes()))
+                samples, prints, long = zip(*made, strict=True)
+                columns = [*(part.column(k) for k in range(4)), pa.array(samples, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64())), pa.array(long, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h1", "h2", "chars", "samples", "prints", "long"])
+
+    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, chars long, samples array<int>, prints array<long>, long binary")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([np.asarray(batch.column(k)) for k in range(keys)])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            key = values[:, low].tolist()
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _within_budget(budget: int):
+    """The pairs (doc, first, long_a, long_b) whose long fingerprints are within the budget."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (2, 3))
+            near = pa.array(_ones(a ^ b).sum(axis=1) <= budget) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(near) for k in (0, 1)], ["doc", "first"])
+
+    return run
 
-    return df.mapInArrow(run, "doc_id long, h1 long, h2 long, samples array<int>, prints array<long>")
 
+def _near_in_blocks(budget: int):
+    """Of pairs of blocks of a cell, the rows whose long fingerprint is within the budget of one of another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 4):
+            prints = np.frombuffer(b"".join(group.column("long").to_pylist()), "<u8").reshape(group.num_rows, -1).astype(np.uint64)
+            first = np.asarray(group.column("own")) == group.column("x")[0].as_py()
+            order = np.lexsort((*prints.T[::-1], ~first))
+            parts = np.asarray(group.column("component"))[order]
+            n, mid = len(order), int(first.sum())
+            ranges = ([0], [n], [0], [n]) if mid == n else ([0], [mid], [mid], [n])
+            marked = np.zeros(n, bool)
+            for i, j in join_tries(prints[order], tuple(np.array(x) for x in (*ranges, [0])), budget):
+                apart = parts[i] != parts[j]
+                marked[i[apart]] = marked[j[apart]] = True
+            if marked.any():
+                yield from group.select(["sample", "fp", "x", "y", "node", "component"]).take(pa.array(order[marked])).to_batches()
 
-def _alike_in_block(size: int, threshold: float):
-    def run(block: pa.Table) -> pa.Table:
-        docs, parts = (np.asarray(block.column(name)) for name in ("doc", "component"))
+    return run
+
+
+def _alike_in_blocks(size: int, threshold: float):
+    """A spanning forest of the links among the texts of a pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, 4):
+            yield block(group)
+
+    def block(group: pa.Table) -> pa.RecordBatch:
+        docs, parts = (np.asarray(group.column(name)) for name in ("node", "component"))
         child = root = np.empty(0, np.int64)
         if (parts != parts[0]).any():
-            sets = [distinct_hashes(t, size) for t in block.column("text").to_pylist()]
+            sets = [distinct_hashes(t, size) for t in group.column("text").to_pylist()]
             n = np.array([len(x) for x in sets], np.int64)
             owner = np.repeat(np.arange(len(sets)), n)
             _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -285,50 +350,77 @@ def _alike_in_block(size: int, threshold: float):
             labels = unite(np.arange(len(sets)), i, j)
             child = np.flatnonzero(labels != np.arange(len(labels)))
             child, root = docs[child], docs[labels[child]]
-        return pa.table({"a": pa.array(child, pa.int64()), "b": pa.array(root, pa.int64())})
+        return pa.RecordBatch.from_arrays([pa.array(child, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _rest(others: DataFrame, labels: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(a, b) links among the texts of a path besides its first, where ``labels`` leave these in several components.
+def _rest(others: DataFrame, labels: DataFrame, classes: DataFrame, texts_of, size: int, threshold: float, paths: list[str]) -> DataFrame:
+    """(a, b) links among the texts of a cell besides its first, where ``labels`` leave these in several components.
 
-    All texts of such a path are compared, in pairs of blocks of about ``BLOCK_ROWS`` texts and
-    ``BLOCK_CHARS`` characters, each pair in a group of its own.  Paths with the same texts count once.
+    All texts of such a cell are compared, in pairs of blocks of about ``BLOCK_ROWS`` texts and
+    ``BLOCK_CHARS`` characters, each pair in a group of its own: first the tries of their long
+    fingerprints are joined, then the texts that this leaves.  Cells with the same texts count once.
     """
-    chars = rows.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"))
     at = others.join(labels, others["doc"] == labels["node"], "left").select("sample", "fp", "doc", F.coalesce("component", "doc").alias("component"))
-    paths = at.groupBy("sample", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("docs"))
-    open_ = paths.where("low <> high").groupBy("n", "docs").agg(F.min(F.struct("sample", "fp")).alias("p")).select("p.*")
-    members, _ = written(at.join(open_, ["sample", "fp"], "left_semi").join(chars, F.col("doc") == chars["doc_id"]).drop("doc_id"), "open-paths")
+    ends = at.groupBy("sample", "fp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("doc")).alias("docs"))
+    open_ = ends.where("low <> high").groupBy("n", "docs").agg(F.min(F.struct("sample", "fp")).alias("p")).select("p.*")
+    members, path = written(at.join(open_, ["sample", "fp"], "left_semi").join(classes.select("node", "chars", "long"), F.col("doc") == F.col("node")).drop("doc"), "open-cells")
+    paths.append(path)
     blocks = members.groupBy("sample", "fp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS, F.lit(1.0))).cast("long").alias("blocks"))
-    dealt = members.join(blocks, ["sample", "fp"]).withColumn("own", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("sample", "fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc", "component")
-    texts = dealt.join(rows, dealt["doc"] == rows["doc_id"]).drop("doc_id")
-    return texts.groupBy("sample", "fp", "x", "y").applyInArrow(_alike_in_block(size, threshold), "a long, b long")
+    dealt = members.join(blocks, ["sample", "fp"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ("sample", "fp", "x", "y")
+    dealt = dealt.select(F.col("sample").cast("long").alias("sample"), "fp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component", "long")
+    near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_in_blocks(LONG_BUDGET), "sample long, fp long, x long, y long, node long, component long")
+    near, path = written(near, "near-rows")
+    paths.append(path)
+    texts = near.join(texts_of(near.select("node").distinct()), "node").select(*keys, "node", "component", "text")
+    return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_alike_in_blocks(size, threshold), "a long, b long")
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row: groups of texts whose sets of shingles are alike by the threshold.
-
-    Texts this alike differ in about ten of 64 bits, too many for a trie's budget to prune by.  So each
-    text gets ``SAMPLES`` fingerprints, each of ``SAMPLED`` shingles that come first in an order of its
-    own, independent of the others: two texts alike by 0.8 share one of these but for one in 5,000.
-    Short texts get single shingles by which they cannot miss each other (``path_keys``).  Where the tries' paths of two
-    fingerprints are the same (a budget of no bits), the texts are compared by their whole sets of
-    shingles: each with the least doc_id at the end of its path, and then, where this leaves several
-    components among the others there, all of these with each other.  Copies meet beforehand.
+    """(h1, h2, doc_id, kept_h1, kept_h2, kept_id) for each distinct text: its two hashes (``text_keys``), its least doc_id, and those of the text of its group that has the least doc_id.
+
+    Groups are the components of texts whose sets of shingles are alike by the threshold.  Texts this
+    alike differ in about ten of 64 SimHash bits, too many for blocks of equal bits to find them by.
+    So the tries are dealt into cells by SimHash fingerprints of ``SAMPLES`` samples, each of the
+    ``SAMPLED`` shingles that come first in an order of its own, independent of the others: two texts
+    alike by 0.8 share one of these cells but for one in 5,000, and short texts surely, by single
+    shingles (``path_keys``).  Within a cell texts are compared by fingerprints of ``WIDTH`` * 64 bits
+    with an error budget of ``LONG_BUDGET`` bits, and those within it by their whole sets of
+    shingles: each text with the first of its cell, and then, where this leaves several components
+    among the others there, all of these with each other, by joining their tries.  Equal texts meet
+    beforehand.  Groups are of texts, so rows that share a doc_id but not the text don't
+    mix; a row without a doc_id comes after all others of its group.
     """
     spark = df.sparkSession
-    rows = df.selectExpr(f"cast(`{doc_id}` as long) as doc_id", f"`{text}` as text")
-    signed, _ = written(_signatures(rows, size, threshold), "signatures")
-    classes, classes_path = written(signed.where("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.any_value(F.arrays_zip("samples", "prints")).alias("paths")), "classes")
-    prints = classes.select("doc", F.explode("paths").alias("p")).select("doc", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
-    ends, ends_path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "path-ends")
-    others, others_path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first"), "path-others")
-    pairs, pairs_path = written(others.select("doc", "first").distinct(), "pairs")
-    one = pairs.join(rows.withColumnRenamed("text", "a"), pairs["doc"] == F.col("doc_id")).select("doc", "first", "a")
-    both = one.join(rows.withColumnRenamed("text", "b"), one["first"] == F.col("doc_id")).select("doc", "first", "a", "b")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), *text_keys(F.col(text)), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"), F.col(text).alias("text"))
+    signed, signed_path = written(_signatures(rows, size, threshold), "signatures")
+    by_text = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.any_value("chars").alias("chars"), F.any_value("long").alias("long"), F.any_value(F.arrays_zip("samples", "prints")).alias("paths"))
+    # The numbers are read back from what is written here, once.
+    classes, classes_path = written(by_text.withColumn("node", F.monotonically_increasing_id()), "classes")
+    paths = [signed_path, classes_path]
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text), read from one row of each class."""
+        wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("doc_id").alias("id"))
+        found = rows.join(wanted, (rows["h1"] == F.col("k1")) & (rows["h2"] == F.col("k2")) & rows["doc_id"].eqNullSafe(F.col("id")))
+        table, path = written(found.select("node", "text").dropDuplicates(["node"]), "texts")
+        paths.append(path)
+        return table
+
+    prints = classes.select(F.col("node").alias("doc"), F.explode("paths").alias("p")).select("doc", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
+    ends, path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cell-firsts")
+    paths.append(path)
+    others, path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first"), "cell-others")
+    paths.append(path)
+    long = classes.select("node", "long")
+    pairs = others.select("doc", "first").distinct()
+    pairs = pairs.join(long.toDF("doc", "long_a"), "doc").join(long.toDF("first", "long_b"), "first")
+    pairs, path = written(pairs.select("doc", "first", "long_a", "long_b").mapInArrow(_within_budget(LONG_BUDGET), "doc long, first long"), "pairs")
+    paths.append(path)
+    texts = texts_of(pairs.select(F.col("doc").alias("node")).union(pairs.select(F.col("first").alias("node"))).distinct())
+    both = pairs.join(texts.toDF("doc", "a"), "doc").join(texts.toDF("first", "b"), "first").select("doc", "first", "a", "b")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,12 +428,37 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1)], ["a", "b"])
 
-    found, found_path = written(both.mapInArrow(alike, "a long, b long"), "links")
-    rest = _rest(others, components(found, "a", "b"), rows, size, threshold)
+    found, path = written(both.mapInArrow(alike, "a long, b long"), "links")
+    paths.append(path)
+    rest, path = written(_rest(others, components(found, "a", "b"), classes, texts_of, size, threshold, paths), "links")
+    paths.append(path)
     labels = components(found.unionByName(rest), "a", "b")
-    named, _ = written(classes.join(labels, classes["doc"] == labels["node"], "left").select("h1", "h2", F.coalesce("component", "doc").alias("component_id")), "components")
-    delete(spark, classes_path, ends_path, others_path, pairs_path, found_path)
-    return signed.join(named, ["h1", "h2"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = classes.join(labels, "node", "left").select("h1", "h2", "doc_id", F.coalesce("component", "node").alias("component"))
+    named, path = written(named, "components")
+    paths.append(path)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("kept_id"), F.col("h1").alias("kept_h1"), F.col("h2").alias("kept_h2"))).alias("k")
+    kept, path = written(named.groupBy("component").agg(first).select("component", "k.kept_h1", "k.kept_h2", "k.kept_id"), "kept")
+    paths.append(path)
+    result, _ = written(named.join(kept, "component").drop("component"), "groups")
+    delete(spark, *paths)
+    return result
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text, equal for equal texts; a null text counts as an empty one."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2")
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
+    """One row of each group of ``similar_groups``: of its least doc_id's, and of repeats of that the first by a hash of the whole row."""
+    kept = similar_groups(docs, doc_id, text, size, threshold).select("kept_h1", "kept_h2", "kept_id").distinct()
+    h1, h2 = text_keys(docs[text])
+    own = docs[doc_id].cast("long")
+    rows = docs.join(kept, (h1 == kept["kept_h1"]) & (h2 == kept["kept_h2"]) & own.eqNullSafe(kept["kept_id"]))
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    one = rows.select("kept_h1", "kept_h2", row).groupBy("kept_h1", "kept_h2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row.*")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def test_pairs_just_alike_are_joined(spark, both, own):
         words = [f"{k}w{i}" for i in range(both + own)]
         texts += [" ".join(words[: both + own // 2]), " ".join(words[:both] + words[both + own // 2 :])]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, size=1).collect()}
+    got = {r.doc_id: r.kept_id for r in simhash.similar_groups(docs, size=1).collect()}
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
@@ -105,10 +105,76 @@ def test_groups_around_a_common_passage(spark, monkeypatch, block):
         words = [f"{k}w{i}" for i in range(12)]
         texts += [" ".join(passage + words[:9]), " ".join(passage + words[:6] + words[9:])]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs, size=1).collect()}
+    got = {r.doc_id: r.kept_id for r in simhash.similar_groups(docs, size=1).collect()}
     assert got == groups_by_definition(texts)
 
 
+def test_long_tries_find_each_pair_once():
+    rng = np.random.default_rng(8)
+    middle = rng.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    prints = middle[rng.integers(0, 3, 90)].copy()
+    for row in prints:
+        for bit in rng.choice(256, rng.integers(0, 60), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    prints = prints[np.lexsort(prints.T[::-1])]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= 50}
+    got = [p for i, j in simhash.join_tries(prints, tuple(np.array([x]) for x in (0, 90, 0, 90, 0)), 50) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got))
+    assert {tuple(sorted(p)) for p in got} == want
+    cross = [p for i, j in simhash.join_tries(np.concatenate([prints[:40], prints[40:]]), tuple(np.array([x]) for x in (0, 40, 40, 90, 0)), 50) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sorted(cross) == sorted((i, j) for i, j in want if i < 40 <= j)
+
+
+def shingles(text):
+    words = lower_words(text)
+    return {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def lower_words(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
+def kept_by_definition(rows):
+    """(doc_id, text) of each group's least doc_id, comparing all pairs of texts."""
+    texts = sorted({t or "" for _, t in rows})
+    sets = [shingles(t) for t in texts]
+    least = [min((i is None, i or 0) for i, t in rows if (t or "") == x) for x in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (sets[i] or not sets[j])]
+    labels = simhash.unite(np.arange(len(texts)), *(np.array(x, int) for x in zip(*links, strict=True))) if links else np.arange(len(texts))
+    groups = {}
+    for text, label, first in zip(texts, labels.tolist(), least, strict=True):
+        groups.setdefault(label, []).append((first, text))
+    return sorted(((None if no_id else i), text) for (no_id, i), text in (min(g, key=lambda x: x[0]) for g in groups.values()))
+
+
+def test_stage_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = corpus_pipeline.near_duplicates(spark, docs, "/root/testdata/sf0.001").collect()
+    assert len(kept) < len(rows)
+    assert sorted((r.doc_id, r.text or "") for r in kept) == kept_by_definition(rows)
+
+
+def test_clashing_ids_lose_no_text(spark):
+    a = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, " ".join(f"z{k}" for k in range(40))), (1, a), (2, a + " x"), (2, a + " x"), (None, a + " y"), (None, "alone in the world and without an id")]
+    docs = spark.createDataFrame([(*r, None, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[1], rows[5]}
+    assert len(kept) == 3
+
+
+def test_a_crowd_does_not_hide_a_pair(spark):
+    words = [f"p{k}" for k in range(300)]
+    base = [f"q{k}" for k in range(200)]
+    pair = [" ".join(words + base), " ".join(words + base[:199] + ["other"])]
+    crowd = [" ".join(words + [f"{c}c{k}" for k in range(200)]) for c in range(150)]
+    rows = [*enumerate(crowd), (1000, pair[0]), (1001, pair[1])]
+    got = {r.doc_id: r.kept_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1001] == 1000
+    assert all(got[k] == k for k in range(150))
+
+
 def test_pipeline(spark, tmp_path):
     data = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -126,7 +192,7 @@ def test_pipeline(spark, tmp_path):
     assert share(1) > 0.95
     assert share(0) < 0.4
     packed = corpus_pipeline.run(spark, data)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept.collect()}
+    assert sorted(i for r in packed.collect() for i in r.doc_ids) == sorted(r.doc_id for r in kept.collect())
     texts = [" ".join(w for w in (r.text or "").lower().split()) for r in kept.collect()]
     assert len(texts) == len(set(texts))
 
