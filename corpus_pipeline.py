@@ -6,9 +6,10 @@ shared folder and reads it again as the next stage's documents.
 - quality: documents whose perplexity is outside their language's quantiles go, and so do those
   without text.  Rows with the same doc_id stay or go together.
 - language: documents without a letter, or close to no language, go.
-- near_duplicates: of the documents that SimHash finds alike by 0.8 in their five-word shingles, the
-  one with the least doc_id stays.  Documents without a doc_id all stay; repeated rows of one document become one.
-- packing: every document's length bucket, batch and slot.
+- near_duplicates: of the texts that SimHash finds alike by 0.8 in their five-word shingles, the
+  one with the least doc_id stays, once; a text without a doc_id stays if no text like it has one.
+  Texts are told apart by themselves, not by doc_id, so rows that share a doc_id lose no text.
+- packing: the batches of token ids: their bucket, doc_ids, lengths and padded ids.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import kneser_ney, language_id, packing, simhash
 from tabulon.llm.common import table, written
+from tabulon.llm.queries import byte_pairs
 
 #: The least cosine with the nearest language profile.
 MIN_COSINE = 0.1
@@ -40,15 +42,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    groups = simhash.similar_groups(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    with_id = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    return simhash.without_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in the batches of the length buckets."""
-    return packing.pack_documents(docs)
+    """The batches of the length buckets, with their documents' padded token ids."""
+    return packing.pack_documents(docs, *byte_pairs())
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("packing", packed)]
