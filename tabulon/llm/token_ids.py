@@ -1,8 +1,8 @@
 """Tokenized corpora as files of frames (see ``pfor``), written and read by Spark.
 
-Texts are cut at ASCII white space, where no token of this kind of tokenizer can reach across, and
-A-Z are lower-cased, as the tokenizer does first; each distinct piece is encoded once per worker
-while it is remembered.
+With a tokenizer that lower-cases and keeps words by the pattern ``_WORDS``, texts are cut at ASCII
+white space, where no token can reach across, and A-Z are lower-cased, as the tokenizer does first; each
+distinct piece is encoded once per worker while it is remembered.  Any other tokenizer gets whole texts.
 
 Rows are dealt by ranges of doc_id before they are encoded, so the files, in order of their frames'
 partition and sequence, hold the documents in ascending order.  Files go through Spark's text
@@ -15,6 +15,7 @@ makes no frames.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -55,6 +56,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        splits = [p.get("pattern", {}).get("Regex") for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", ())]
+        normal = [n["type"] for n in (parts["normalizer"] or {}).get("normalizers", ())]
+        self.by_pieces = _WORDS.pattern in splits and normal == ["NFC", "Replace", "Lowercase"] and parts["model"].get("end_of_word_suffix") == _WORD_END
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
@@ -64,6 +69,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (uint32) of each text."""
+        if not self.by_pieces:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         pieces = [words(text) for text in texts]
         asked: set[bytes] = set()
         for piece in pieces:
@@ -165,15 +172,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content")
 
 
-def partition_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(partition, before): ids in all partitions before each, from the frames' headers alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(f.partition, f.ids) for content in batch.column(0).to_pylist() for f in pfor.frames(content)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["partition", "ids"])
-
-    totals = _files(spark, path).mapInArrow(run, "partition long, ids long").groupBy("partition").agg(F.sum("ids").alias("ids"))
+def partition_starts(facts: DataFrame) -> DataFrame:
+    """(partition, before): ids in all partitions before each, from the (partition, at, n_tokens) of every document."""
+    totals = facts.groupBy("partition").agg(F.max(F.col("at") + F.col("n_tokens")).alias("ids"))
     # One row for each partition of the writing job: their number is a setting, not a size of the data.
     before = F.sum("ids").over(Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1))
     return totals.select("partition", F.coalesce(before, F.lit(0)).alias("before"))
@@ -199,8 +200,8 @@ def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, "token-ids")
     write_files(df, path, tokenizer)
-    starts, _ = written(partition_starts(spark, path), "partition-starts")
     facts = read_files(spark, path).select("doc_id", "partition", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     found, _ = written(facts, "token-facts")
+    starts, _ = written(partition_starts(found), "partition-starts")
     delete(spark, path)
     return found.join(starts, "partition").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
