@@ -5,24 +5,32 @@ the others become continuation records that name it as their origin.  Reading gr
 the origin's identifier, orders them by segment number, verifies the numbers and the total length,
 takes the HTTP head off and decodes the chunked transfer framing.
 
-Archives go through Spark's text writer, whose separator is the two line ends that close a record,
-and come back through its binary reader, so any store that Spark can use will do.  A file holds at
-most ``RECORDS_PER_FILE`` records of bounded size, and one gzip stream.
+Each record is a gzip member of its own, so that readers can seek to it, and each file starts with a
+``warcinfo`` record.  Archives go through Spark's text writer and come back through its binary reader,
+so any store that Spark can use will do.  The writer puts a separator after each value: it is the zero
+byte in which a member of less than 16 MB ends.  A file holds at most ``RECORDS_PER_FILE`` records of
+bounded size; its name ends in ``.warc.gz``.
 
 Defined cases: a null payload is an empty one, a null address leaves the header out.  Rows that are
 repeated are written and read as often as they occur.  A record that lacks a part, or whose parts
-contradict each other, the total length or the chunk framing, is returned with a null payload and
-the reason in ``error``; so is a truncated last record.  A record without an identifier is known by
+contradict each other, the total length, the chunk framing or the payload's digest, is returned with a
+null payload and the reason in ``error``; so is a truncated last record.  A record without an identifier is known by
 its place.  An empty table makes an archive without records.
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +38,8 @@ SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4096
 RECORDS_PER_FILE = 2048
 _END = b"\r\n"
-_DATE = b"1970-01-01T00:00:00Z"
+_MEMBER_BYTES = 1 << 24
+_LEVEL = 6
 PART_SCHEMA = "origin string, number long, total long, type string, uri string, refers_to string, digest string, block binary, error string"
 RECORD_SCHEMA = "record_id string, type string, uri string, refers_to string, digest string, segments long, payload binary, error string"
 
@@ -82,10 +91,10 @@ def _record(headers: list[tuple[bytes, bytes]], block: bytes) -> bytes:
     return _END.join(lines) + _END + _END + block
 
 
-def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
+def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers_to: str | None, date: str, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
     """The WARC records of one capture, without the line ends that close each."""
     name = b"<" + _plain(record_id) + b">"
-    common = [(b"WARC-Date", _DATE), *([(b"WARC-Target-URI", _plain(uri))] if uri is not None else [])]
+    common = [(b"WARC-Date", date.encode()), *([(b"WARC-Target-URI", _plain(uri))] if uri is not None else [])]
     shared = [*common, (b"WARC-Payload-Digest", b"sha1:" + _plain(digest)), (b"Content-Type", b"application/http;msgtype=response")]
     if refers_to is not None:
         profile = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,16 +111,36 @@ def records(record_id: str, uri: str | None, payload: bytes, digest: str, refers
         yield _record([*head, *common, *([(b"WARC-Segment-Total-Length", b"%d" % len(block))] if last else [])], block[start : start + segment])
 
 
+def warcinfo(record_id: str, date: str) -> bytes:
+    """The record that tells what made a file."""
+    head = [(b"WARC-Type", b"warcinfo"), (b"WARC-Record-ID", b"<" + _plain(record_id) + b">"), (b"WARC-Date", date.encode()), (b"Content-Type", b"application/warc-fields")]
+    return _record(head, b"software: tabulon\r\nformat: WARC File Format 1.1\r\n")
+
+
+def member(record: bytes) -> bytes:
+    """A record and the line ends that close it as a gzip member."""
+    whole = record + _END + _END
+    if len(whole) >= _MEMBER_BYTES:
+        raise ValueError("a record of 16 MB or more; write smaller segments")
+    return gzip.compress(whole, _LEVEL, mtime=0)
+
+
 def write_archives(captures: DataFrame, path: str, segment: int = SEGMENT_BYTES, per_file: int = RECORDS_PER_FILE) -> None:
     """Write (record_id, uri, payload binary, digest, refers_to) rows as gzipped WARC files; a row with refers_to is a revisit."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, made = TaskContext.get().partitionId(), 0
         for batch in batches:
             held, size = [], 0
             for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                for record in records(row[0], row[1], row[2] or b"", row[3], row[4], segment):
-                    held.append(record)
-                    size += len(record)
+                for record in records(row[0], row[1], row[2] or b"", row[3], row[4], date, segment):
+                    if made % per_file == 0:  # the writer begins a file here
+                        held.append(member(warcinfo(f"urn:file:{partition}:{made // per_file}", date))[:-1])
+                        made += 1
+                    held.append(member(record)[:-1])
+                    made += 1
+                    size += len(held[-1])
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
                         held, size = [], 0
@@ -119,8 +148,18 @@ def write_archives(captures: DataFrame, path: str, segment: int = SEGMENT_BYTES,
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
 
     lines = captures.select("record_id", "uri", "payload", "digest", "refers_to").mapInArrow(run, "value binary")
-    writer = lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n")
-    writer.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    writer = lines.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0")
+    writer.option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    _rename(captures.sparkSession, path)
+
+
+def _rename(spark: SparkSession, path: str) -> None:
+    """Let the files' names tell what they are."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in store.listStatus(folder) if f.getPath().getName().endswith(".txt")]
+    with ThreadPool(8) as pool:
+        pool.map(lambda p: store.rename(p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, p.getName().removesuffix(".txt") + ".warc.gz")), old)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
@@ -209,6 +248,12 @@ def _payload(block: bytes) -> bytes:
     return dechunked(body) if coding and b"chunked" in coding[1].lower() else body
 
 
+def _matches(digest: str, payload: bytes) -> bool:
+    """Whether a SHA-1 in hexadecimal or base 32 is that of the payload."""
+    made = hashlib.sha1(payload)
+    return digest.lower() == made.hexdigest() or digest == base64.b32encode(made.digest()).decode()
+
+
 def assemble(group: list[tuple]) -> Iterator[tuple]:
     """The records made of one origin's parts, given in the order of their numbers.
 
@@ -233,6 +278,8 @@ def assemble(group: list[tuple]) -> Iterator[tuple]:
     if error is None and first[3] == "response":
         try:
             payload = _payload(b"".join(ps[0][7] for ps in by_number.values()))
+            if first[6] and not _matches(first[6], payload):
+                payload, error = None, "another digest"
         except FramingError as e:
             error = str(e)
     for _ in range(max(1, copies)):

@@ -1,7 +1,9 @@
 """WARC, token files, packing, exact and approximate search."""
 
+import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -45,6 +47,45 @@ def test_parsing_cuts_by_length():
     assert [*warc.parse(b"")] == []
 
 
+def test_files_have_a_member_for_each_record_and_say_what_made_them(spark, tmp_path):
+    import gzip
+
+    rows = [(f"urn:r:{k}", "http://u", b"x" * (k * 9000), hashlib.sha1(b"x" * (k * 9000)).hexdigest(), None) for k in range(4)]
+    captures = spark.createDataFrame(rows, "record_id string, uri string, payload binary, digest string, refers_to string").coalesce(1)
+    warc.write_archives(captures, str(tmp_path / "w"), per_file=4)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) == 2
+    found = 0
+    for file in files:
+        assert file.name.endswith(".warc.gz")
+        data, members = file.read_bytes(), []
+        while data:
+            stream = zlib.decompressobj(31)
+            members.append(stream.decompress(data))
+            assert stream.eof
+            data = stream.unused_data
+        assert b"".join(members) == gzip.decompress(file.read_bytes())
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+        assert b"WARC-Type: warcinfo" in members[0]
+        assert not any(b"WARC-Type: warcinfo" in m for m in members[1:])
+        assert all(re.search(rb"WARC-Date: 20\d\d-", m) for m in members)
+        found += len(members) - 1
+    assert found == 6
+    read = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path / "w")).where("type = 'response'").collect()}
+    assert {k: r.payload for k, r in read.items()} == {r[0]: r[2] for r in rows}
+    wrong = spark.createDataFrame([("a", "u", b"payload", "0" * 40, None)], captures.schema)
+    warc.write_archives(wrong, str(tmp_path / "v"))
+    (bad,) = warc.read_archives(spark, str(tmp_path / "v")).where("type = 'response'").collect()
+    assert (bad.payload, bad.error) == (None, "another digest")
+
+
+def test_many_copies_without_ids(spark):
+    pages = spark.createDataFrame([(None, "u", "")] * 500 + [(k, "u", "z" * 2000) for k in range(300)], "page_id long, url string, html string")
+    found = page_archives.archived(pages).collect()
+    assert len(found) == 800
+    assert sum(r.record_type == "revisit" and r.refers_to == 299 and r.payload_bytes == 2000 for r in found) == 299
+
+
 def test_pages(spark):
     long, longer = "é" * 700, "x" * 50_000
     rows = [(1, "http://a b\r\nX: y", "short"), (2, None, "short"), (3, "u", long), (4, "u", long), (5, "u", longer), (6, "u", None), (7, "u", ""), (9, "u", longer), (9, "u", longer), (None, "u", long)]
@@ -52,8 +93,6 @@ def test_pages(spark):
     found = {(r.page_id, r.record_type, r.refers_to): r for r in page_archives.archived(pages).collect()}
     want = {(1, "response", None), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "revisit", 9), (6, "response", None), (7, "response", None), (9, "response", None), (None, "response", None)}
     assert set(found) == want
-    import hashlib
-
     for (page_id, _, _), r in found.items():
         html = next(h or "" for p, _, h in rows if p == page_id).encode()
         assert (r.payload_bytes, r.payload_digest) == (len(html), hashlib.sha1(html).hexdigest())
@@ -99,6 +138,33 @@ def test_token_files(spark):
     assert token_ids.round_trip(docs.limit(0), path).collect() == []
 
 
+def test_tokenizers_of_another_kind_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["The CAT, it's 12 cats!!", "", None, "  two  blanks\n\tand İ"]
+    library = Tokenizer.from_file(path)
+    for text, ids in zip(texts, token_ids.PieceEncoder(path).encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert token_ids.PieceEncoder(str(public_tokenizers.path("word_bpe_49k.json"))).by_pieces
+
+
+def test_token_files_of_a_whole_table(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = token_ids.round_trip(docs, path).orderBy("start").collect()
+    library = Tokenizer.from_file(path)
+    start = 0
+    for r, (doc_id, text) in zip(got, sorted(docs.collect(), key=lambda x: x[0]), strict=True):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_buckets_pad_least():
     rng = np.random.default_rng(0)
     for _ in range(200):
