@@ -47,9 +47,10 @@ ORDER = 4
 #: mu of the contexts of one, two and three tokens.
 MU = (500.0, 20.0, 5.0)
 CHUNK_TOKENS = 1 << 20
-SHARD_KEYS = 1 << 20
-LEAST_SHARDS = 256
-SPARE_BITS = 16
+#: Tokens for each shard.
+SHARD_TOKENS = 1 << 21
+LEAST_SHARDS = 64
+SPARE_BITS = 12
 SEGMENT = 512
 #: No word holds a blank.
 _END, _START = (xxhash.xxh64_intdigest(mark) for mark in (b" ", b"  "))
@@ -131,62 +132,60 @@ class Automaton:
     """The states and arcs that the texts of a chunk can reach.  State 0 has no context.
 
     ``totals`` are the training counts of the chunk's distinct n-grams, by order; ``n`` and ``v`` count
-    the training tokens and the distinct ones, ``documents`` the training texts.
+    the training tokens and the distinct ones, ``documents`` the training texts.  Arcs are numbered
+    like the n-grams they complete, one order after the other, so a token's arc from a state with k
+    tokens is that of the n-gram of order k + 1 at the token; ``seen`` tells which arcs there are.
     """
 
     def __init__(self, chunk: Chunk, totals: list[np.ndarray], n: int, v: int, documents: int, mu: tuple[float, ...]) -> None:
-        self.size = size = len(chunk.hashes)
+        size = len(chunk.hashes)
         contexts = totals[0].copy()
         contexts[1] = documents
         p = (totals[0] + 1.0) / (n + v + 1)
         #: Of each n-gram: its state as a context (0: not seen), and the state of the longest seen context that it ends with.
-        state = reach = np.zeros(1, np.int64)
-        fail, weight, made = [state], [np.zeros(1)], 1
-        keys, arcs, targets = [], [], []
+        reach = np.zeros(1, np.int64)
+        self.start = 0
+        fail, weight, order_of = [reach], [np.zeros(1)], [np.zeros(1, np.int8)]
+        seen, arcs, targets = [], [], []
+        made = 1
         for k in range(1, chunk.order + 1):
             code, shorter = chunk.codes[k - 1], chunk.shorter[k - 1]
             if k == 1:
-                seen = np.ones(size, bool)  # without a context every token has an arc
+                seen.append(np.ones(size, bool))  # without a context every token has an arc
             else:
-                before = code // size
-                seen = (totals[k - 1] > 0) & (contexts[before] > 0)
-                p = (totals[k - 1] + mu[k - 2] * p[shorter]) / (contexts[before] + mu[k - 2])
-                contexts = np.where(seen, totals[k - 1], 0)
-            keys.append((code if k == 1 else state[before] * size + code % size)[seen])
-            arcs.append(np.log10(p[seen]))
-            below = reach[shorter]
+                before = contexts[code // size]
+                seen.append((totals[k - 1] > 0) & (before > 0))
+                p = (totals[k - 1] + mu[k - 2] * p[shorter]) / (before + mu[k - 2])
+                contexts = np.where(seen[-1], totals[k - 1], 0)
+            arcs.append(np.log10(p))
+            reach = reach[shorter]
             if k < chunk.order:
                 kept = np.flatnonzero(contexts)
-                state = np.zeros(len(code), np.int64)
-                state[kept] = made + np.arange(len(kept))
-                made += len(kept)
-                fail.append(below[kept])
+                fail.append(reach[kept])
                 weight.append(np.log10(mu[k - 1] / (contexts[kept] + mu[k - 1])))
-                reach = np.where(state > 0, state, below)
+                order_of.append(np.full(len(kept), k, np.int8))
+                reach[kept] = made + np.arange(len(kept))
+                made += len(kept)
                 if k == 1:
-                    self.start = int(state[1])
-            else:
-                reach = below
-            targets.append(reach[seen])
-        if chunk.order == 1:
-            self.start = 0
-        self.fail, self.weight = np.concatenate(fail), np.concatenate(weight)
-        self.keys, self.arcs, self.targets = np.concatenate(keys), np.concatenate(arcs), np.concatenate(targets)
-
-    def walk(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One token read in each of several traversals: what it adds, and the states after it."""
-        states, sums = states.copy(), np.zeros(len(states))
-        at = np.empty(len(states), np.int64)
-        todo = np.arange(len(states))
+                    self.start = int(reach[1])
+            targets.append(reach)
+        self.fail, self.weight, self.order = np.concatenate(fail), np.concatenate(weight), np.concatenate(order_of)
+        self.seen, self.arcs, self.targets = np.concatenate(seen), np.concatenate(arcs), np.concatenate(targets)
+        first = np.cumsum([0, *(len(c) for c in chunk.codes[:-1])])
+        self.at = np.stack([place + low for place, low in zip(chunk.places, first, strict=True)]).astype(np.int32)
+
+    def read(self, states: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token read in each of several traversals, by its place in the chunk: what it adds, and the states after it."""
+        states = states.copy()
+        arc = self.at[self.order[states], tokens]
+        sums = np.zeros(len(states))
+        todo = np.flatnonzero(~self.seen[arc])
         while len(todo):
-            asked = states[todo] * self.size + tokens[todo]
-            places = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
-            found = self.keys[places] == asked
-            at[todo[found]] = places[found]
-            todo = todo[~found]
             sums[todo] += self.weight[states[todo]]
             states[todo] = self.fail[states[todo]]
-        return sums + self.arcs[at], self.targets[at]
+            arc[todo] = self.at[self.order[states[todo]], tokens[todo]]
+            todo = todo[~self.seen[arc[todo]]]
+        return sums + self.arcs[arc], self.targets[arc]
 
     def scores(self, chunk: Chunk, segment: int = SEGMENT) -> np.ndarray:
         """The log10 probability of each text of the chunk."""
@@ -203,7 +202,7 @@ class Automaton:
         running = len(text)
         for step in range(int(left.max(initial=0))):
             running = int(np.searchsorted(-left[:running], -step, side="left"))
-            added, states[:running] = self.walk(states[:running], chunk.tokens[place[:running] + step])
+            added, states[:running] = self.read(states[:running], place[:running] + step)
             sums[:running] += np.where(skip[:running] <= step, added, 0)
         return np.bincount(text, sums, len(pieces))
 
@@ -310,7 +309,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, mu: tuple[float
     spark = docs.sparkSession
     table, table_path = written(chunks(docs, held_out, chunk_tokens), "chunks")
     facts = table.agg(F.sum("n_tokens").alias("n")).first()
-    shards = 1 << (max(LEAST_SHARDS, -(-(facts.n or 0) * order // SHARD_KEYS)) - 1).bit_length()
+    shards = 1 << (max(LEAST_SHARDS, -(-(facts.n or 0) // SHARD_TOKENS)) - 1).bit_length()
     bits = min(64, max(1, facts.n or 0).bit_length() + SPARE_BITS)
     replies, replies_path = written(totals(requests(table, order, shards, bits)), "totals")
     sums = replies.where("chunk is null and level = 1").mapInArrow(_sums, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
