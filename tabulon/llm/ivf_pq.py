@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
-Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on at most ``SAMPLE``
-rows (the first by a hash of their ids); every row is indexed.  A query visits the lists whose
+Coarse centroids and the codebooks of the residuals' sub-vectors are fitted on the first rows by a
+hash of their ids: ``SAMPLE`` rows, or ``ROWS_PER_LIST`` for each list where that is more; every row is
+indexed.  There are as many lists as the square root of the rows.  A query visits the lists whose
 centroids have the largest inner product with it, scores a list's codes through asymmetric distance
 tables, and computes exact products for the best ``RERANK`` codes of each cell and for
 all others that could reach the k-th of these: whose table score is below it by no more than
@@ -9,9 +10,13 @@ all others that could reach the k-th of these: whose table score is below it by
 id.  How many lists it visits is set on the sample: as few as held ``TARGET`` of
 the exact neighbours of sampled queries there.  Data without clusters need most lists.
 
+Queries travel in blocks: a block sends each cell, in one row, the vectors of those of its queries that
+visit it.  The exact vectors lie with their codes, so candidates are reranked where they are found and
+only the k best leave a cell.
+
 A list is cut by a hash of the ids into cells of about ``CELL_ROWS`` rows, so a vector that is very
-common fills many cells, not one.  A first round searches each query's nearest list; what it finds
-sets a floor, below which later cells return nothing.
+common fills many cells, not one.  A first round searches one cell of each query's nearest list; what it
+finds sets a floor, below which later cells return nothing.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
 and so do rows without an id.  Shorter vectors are filled up with zeros.  Rows that repeat an id
@@ -29,45 +34,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.ball_tree import finite, top
+from tabulon.llm.ball_tree import top
+from tabulon.llm.clusters import finite, k_means, matrix, nearest, one_per_id, sampled
 from tabulon.llm.common import delete, written
 
 K = 20
 SAMPLE = 20_000
-MAX_LISTS = 1024
+ROWS_PER_LIST = 16
 SUBVECTORS = 16
 CODES = 256
 CELL_ROWS = 4096
 RERANK = 64
 SIGMAS = 3.0
 TARGET = 0.97
-_ROUNDS = 10
-_QUERIES = 128
+_QUERIES = 512
+_TOGETHER = 128
 _PAIRS = 1 << 15
 _SEED = 7
 
 
-def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    out = np.empty(len(points), np.int64)
-    squares = (centres**2).sum(axis=1)
-    for start in range(0, len(points), 4096):
-        out[start : start + 4096] = np.argmin(squares - 2 * points[start : start + 4096] @ centres.T, axis=1)
-    return out
-
-
-def k_means(points: np.ndarray, k: int, rounds: int = _ROUNDS) -> np.ndarray:
-    """At most k centres by Lloyd's iterations from distinct points; an empty cluster keeps its centre."""
-    distinct = np.unique(points, axis=0)
-    centres = distinct[np.random.default_rng(_SEED).permutation(len(distinct))[:k]].copy()
-    for _ in range(rounds):
-        at = _nearest(points, centres)
-        counts = np.bincount(at, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, at, points)
-        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
-    return centres
-
-
 @dataclass
 class Model:
     """Centroids, codebooks (sub-vector, code, component) and how many lists a query visits."""
@@ -78,9 +63,9 @@ class Model:
     probes: int
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lists = _nearest(vectors, self.centroids)
+        lists = nearest(vectors, self.centroids)
         rest = vectors - self.centroids[lists]
-        codes = [_nearest(rest[:, a:b], book).astype(np.uint8) for a, b, book in zip(self.cuts, self.cuts[1:], self.codebooks, strict=False)]
+        codes = [nearest(rest[:, a:b], book).astype(np.uint8) for a, b, book in zip(self.cuts, self.cuts[1:], self.codebooks, strict=False)]
         return lists, np.stack(codes, axis=1) if codes else np.zeros((len(vectors), 0), np.uint8)
 
     def decode(self, at: int, codes: np.ndarray) -> np.ndarray:
@@ -93,12 +78,16 @@ class Model:
         return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")
 
 
+def list_count(rows: int) -> int:
+    return max(1, round(rows**0.5))
+
+
 def fit(sample: np.ndarray, rows: int, target: float = TARGET, k: int = K) -> Model:
     """A model from sampled vectors of a table of so many rows."""
     size = sample.shape[1]
-    lists = max(1, min(MAX_LISTS, round(rows**0.5)))
+    lists = list_count(rows)
     centroids = k_means(sample, lists) if len(sample) else np.zeros((1, size))
-    rest = sample - centroids[_nearest(sample, centroids)] if len(sample) else sample
+    rest = sample - centroids[nearest(sample, centroids)] if len(sample) else sample
     cuts = [size * j // min(SUBVECTORS, max(1, size)) for j in range(min(SUBVECTORS, max(1, size)) + 1)]
     books = [k_means(rest[:, a:b], CODES) if len(rest) else np.zeros((1, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
     model = Model(centroids, books, cuts, len(centroids))
@@ -111,7 +100,7 @@ def fit(sample: np.ndarray, rows: int, target: float = TARGET, k: int = K) -> Mo
         found = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         place = np.empty((len(asked), len(centroids)), np.int64)
         np.put_along_axis(place, model.visits(distinct[asked]), np.arange(len(centroids))[None], axis=1)
-        ranks = np.sort(np.take_along_axis(place, _nearest(distinct, centroids)[found], axis=1).reshape(-1))
+        ranks = np.sort(np.take_along_axis(place, nearest(distinct, centroids)[found], axis=1).reshape(-1))
         model.probes = int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)]) + 1
     return model
 
@@ -164,75 +153,101 @@ def _rows(vectors: DataFrame) -> DataFrame:
     return whole.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
 
 
-def _matrix(column: list[list[float]], size: int) -> np.ndarray:
-    out = np.zeros((len(column), size))
-    for row, vector in zip(out, column, strict=True):
-        row[: len(vector)] = vector
-    return out
-
-
 def assigned(rows: DataFrame, model: Model, size: int) -> DataFrame:
-    """(vec_id, list, codes, vector) of every row."""
+    """(vec_id, list, codes, flat) of every row; ``flat`` has the vector's doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, codes = model.encode(_matrix(batch.column(1).to_pylist(), size))
-            packed_codes = [row.tobytes() for row in codes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists), pa.array(packed_codes, pa.binary()), batch.column(1)], ["vec_id", "list", "codes", "vector"])
+            points = matrix(batch.column(1), size)
+            lists, codes = model.encode(points)
+            packed = [pa.array([row.tobytes() for row in x], pa.binary()) for x in (codes, points)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists), *packed], ["vec_id", "list", "codes", "flat"])
 
-    return rows.select("vec_id", "vector").mapInArrow(run, "vec_id long, list long, codes binary, vector array<double>")
+    return rows.select("vec_id", "vector").mapInArrow(run, "vec_id long, list long, codes binary, flat binary")
 
 
-def visits(queries: DataFrame, model: Model, size: int, first: int, last: int | None) -> DataFrame:
-    """(query_id, list, vector): the lists that each query visits, from its first-th to its last."""
+def _cells(dealt: DataFrame) -> DataFrame:
+    """(cell, list, ids, codes, vectors): the rows of each cell as arrays of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            names = np.asarray(batch.column(0))
-            for start in range(0, len(names), _QUERIES):
-                part = _matrix(batch.column(1).slice(start, _QUERIES).to_pylist(), size)
-                lists = model.visits(part)[:, first:last]
-                each = pa.array(np.repeat(np.arange(len(part)), lists.shape[1]))
-                piece = batch.slice(start, _QUERIES)
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(each), pa.array(lists.reshape(-1)), piece.column(1).take(each)], ["query_id", "list", "vector"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield one(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield one(held)
+
+    def one(held: list[tuple]) -> pa.RecordBatch:
+        ids = np.array([h[2] for h in held], np.int64).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([held[0][1]]), pa.array([ids]), *(pa.array([b"".join(h[k] for h in held)]) for k in (3, 4))], ["cell", "list", "ids", "codes", "vectors"])
+
+    ordered = dealt.select("cell", "list", "vec_id", "codes", "flat").repartition("cell").sortWithinPartitions("cell", "vec_id")
+    return ordered.mapInArrow(run, "cell long, list long, ids binary, codes binary, vectors binary")
+
+
+def visits(queries: DataFrame, model: Model, size: int, cells: tuple[list[int], list[int]], first: bool, last: int | None) -> DataFrame:
+    """(cell, ids, codes, vectors): which queries (query_id, vector, floor) each cell is asked by, in blocks; ``codes`` has their floors.
 
-    return queries.select("vec_id", "vector").mapInArrow(run, "query_id long, list long, vector array<double>")
+    In the first round a query visits one cell of its nearest list that has any; later it visits all
+    cells of its lists up to the ``last``, but for that one.
+    """
+    start, pieces = np.array(cells[0], np.int64), np.array(cells[1], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, _QUERIES):
+                part = batch.slice(low, _QUERIES)
+                names, points = np.asarray(part.column(0)), matrix(part.column(1), size)
+                floors = np.asarray(part.column(2).fill_null(-np.inf))
+                order = model.visits(points)
+                nearest_full = order[np.arange(len(names)), np.argmax(pieces[order] > 0, axis=1)]
+                home = start[nearest_full] + names % np.maximum(pieces[nearest_full], 1)
+                if first:
+                    cell, of = home, np.arange(len(names))
+                else:
+                    lists = order[:, :last].reshape(-1)
+                    of = np.repeat(np.repeat(np.arange(len(names)), order[:, :last].shape[1]), pieces[lists])
+                    n = pieces[lists]
+                    cell = np.repeat(start[lists] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    cell, of = cell[cell != home[of]], of[cell != home[of]]
+                by_cell = np.argsort(cell, kind="stable")
+                cell, of = cell[by_cell], of[by_cell]
+                bounds = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)] if len(cell) else [0]
+                groups = [of[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                for at in range(0, len(groups), 64):
+                    some = groups[at : at + 64]
+                    columns = [pa.array(cell[bounds[at : at + len(some)]], pa.int64()), *(pa.array([x[g].tobytes() for g in some], pa.binary()) for x in (names, floors, points))]
+                    yield pa.RecordBatch.from_arrays(columns, ["cell", "ids", "codes", "vectors"])
+
+    return queries.select("vec_id", "vector", "floor").mapInArrow(run, "cell long, ids binary, codes binary, vectors binary")
 
 
 def _searched(cells: DataFrame, asked: DataFrame, model: Model, size: int, k: int, rerank: int) -> DataFrame:
-    """(query_id, cell, vec_id, score) of each query in each of its cells; a task holds a cell and ``_QUERIES`` queries."""
+    """(query_id, cell, vec_id, score) of each query in each of its cells; a task holds a cell and a block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
-        held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell and row[0] != cell[0]:
-                    yield from answer(cell, held)
-                    held = []
-                if row[1]:
-                    ids = np.frombuffer(row[4], np.int64)
-                    codes, vectors = np.frombuffer(row[5], np.uint8).reshape(len(ids), -1), np.frombuffer(row[6], np.float64).reshape(len(ids), size)
-                    cell = (row[0], row[2], ids, codes, vectors, np.linalg.norm(vectors - model.decode(row[2], codes), axis=1))
-                elif cell and row[0] == cell[0]:
-                    held.append(row)
-                    if len(held) == _QUERIES:
-                        yield from answer(cell, held)
-                        held = []
-        yield from answer(cell, held)
-
-    def answer(cell: tuple | None, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not cell or not held:
-            return
-        names = np.array([h[3] for h in held], np.int64)
-        floors = np.array([-np.inf if h[8] is None else h[8] for h in held])
-        found = search_cell(model, model.centroids[cell[1]], *cell[2:], names, _matrix([h[7] for h in held], size), floors, k, rerank)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(np.full(len(found[0]), cell[0])), pa.array(found[1]), pa.array(found[2])], ["query_id", "cell", "vec_id", "score"])
-
-    none = F.lit(None)
-    stored = cells.select("cell", F.lit(True).alias("is_cell"), "list", none.cast("long").alias("query_id"), "ids", "codes", "vectors", none.cast("array<double>").alias("vector"), none.cast("double").alias("floor"))
-    queries = asked.select("cell", F.lit(False).alias("is_cell"), "list", "query_id", none.cast("binary").alias("ids"), none.cast("binary").alias("codes"), none.cast("binary").alias("vectors"), "vector", "floor")
-    dealt = stored.unionByName(queries).repartition("cell").sortWithinPartitions("cell", F.col("is_cell").desc(), "query_id")
+            for at in range(batch.num_rows):
+                name, is_cell, place, ids, codes, flat = (batch.column(c)[at].as_py() for c in range(6))
+                names = np.frombuffer(ids, np.int64)
+                vectors = np.frombuffer(flat, np.float64).reshape(len(names), size)
+                if is_cell:
+                    own = np.frombuffer(codes, np.uint8).reshape(len(names), -1)
+                    cell = (name, model.centroids[place], names, own, vectors, np.linalg.norm(vectors - model.decode(place, own), axis=1))
+                elif cell and name == cell[0]:
+                    floors = np.frombuffer(codes, np.float64)
+                    for low in range(0, len(names), _TOGETHER):
+                        part = slice(low, low + _TOGETHER)
+                        found = search_cell(model, *cell[1:], names[part], vectors[part], floors[part], k, rerank)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(np.full(len(found[0]), name)), pa.array(found[1]), pa.array(found[2])], ["query_id", "cell", "vec_id", "score"])
+
+    stored = cells.select("cell", F.lit(True).alias("is_cell"), "list", "ids", "codes", "vectors")
+    told = asked.select("cell", F.lit(False).alias("is_cell"), F.lit(None).cast("long").alias("list"), "ids", "codes", "vectors")
+    dealt = stored.unionByName(told).repartition("cell").sortWithinPartitions("cell", F.col("is_cell").desc())
     return dealt.mapInArrow(run, "query_id long, cell long, vec_id long, score double")
 
 
@@ -240,33 +255,27 @@ def search(vectors: DataFrame, queries: Column, k: int = K, target: float = TARG
     """(query_id, rank, vec_id, score) of the k nearest found for every row for which ``queries`` holds."""
     spark = vectors.sparkSession
     rows, rows_path = written(_rows(vectors), "vectors")
+    rows = one_per_id(rows)
     facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("size")).first()
-    size = facts.size or 0
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
-    model = fit(_matrix([r.vector for r in sample], size), facts.n, target, k)
+    n, size = facts.n, facts.size or 0
+    model = fit(sampled(rows, max(SAMPLE, ROWS_PER_LIST * list_count(n)), size), n, target, k)
     lists = len(model.centroids)
 
     index, index_path = written(assigned(rows, model, size), "index")
-    # At most MAX_LISTS counts come to the driver.
+    # As many counts as lists come to the driver: the square root of the rows.
     counts = dict(index.groupBy("list").count().collect())
     pieces = [-(-counts.get(j, 0) // cell_rows) for j in range(lists)]
-    first_cell = np.concatenate([[0], np.cumsum(pieces)]).tolist()
-    of_list = F.array(*(F.struct(F.lit(a).cast("long").alias("cell"), F.lit(n).cast("long").alias("n")) for a, n in zip(first_cell, pieces, strict=False)))
-    place = F.element_at(of_list, (F.col("list") + 1).cast("int"))
-    dealt = index.withColumn("cell", place["cell"] + F.pmod(F.xxhash64("vec_id"), place["n"]))
-    cells, cells_path = written(_cells(dealt, size), "cells")
-
-    asked, asked_path = written(rows.where(queries).dropDuplicates(["vec_id"]), "queries")
-    def cells_of(first: int, last: int | None) -> DataFrame:
-        seen = visits(asked, model, size, first, last).withColumn("at", place).where("at.n > 0")
-        return seen.withColumn("cell", F.explode(F.sequence("at.cell", F.expr("at.cell + at.n - 1")))).select("query_id", "cell", "list", "vector")
-
-    nearest, nearest_path = written(_searched(cells, cells_of(0, 1).withColumn("floor", F.lit(None).cast("double")), model, size, k, rerank), "nearest")
-    by_cell = nearest.groupBy("query_id", "cell").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    floors, floors_path = written(by_cell.groupBy("query_id").agg(F.max("floor").alias("floor")), "floors")
-    told = cells_of(1, model.probes).join(floors, "query_id", "left")
-    found, found_path = written(nearest.unionByName(_searched(cells, told, model, size, k, rerank)), "found")
-    paths = [rows_path, index_path, cells_path, asked_path, nearest_path, floors_path]
+    first_cell = np.concatenate([[0], np.cumsum(pieces)])[:-1].tolist()
+    cell_of = _cell_of(first_cell, pieces)
+    cells, cells_path = written(_cells(index.mapInArrow(cell_of, "cell long, list long, vec_id long, codes binary, flat binary")), "cells")
+
+    asked, asked_path = written(rows.where(queries).withColumn("floor", F.lit(None).cast("double")), "queries")
+    of_lists = (first_cell, pieces)
+    nearest_found, nearest_path = written(_searched(cells, visits(asked, model, size, of_lists, True, None), model, size, k, rerank), "nearest")
+    floors = nearest_found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", "floor")
+    told, told_path = written(asked.drop("floor").join(floors, asked["vec_id"] == F.col("query_id"), "left").select("vec_id", "vector", "floor"), "floors")
+    found, found_path = written(nearest_found.unionByName(_searched(cells, visits(told, model, size, of_lists, False, model.probes), model, size, k, rerank)), "found")
+    paths = [rows_path, index_path, cells_path, asked_path, nearest_path, told_path]
 
     if model.probes < lists:
         # Queries that came to fewer than k candidates visit the other lists too.
@@ -274,32 +283,22 @@ def search(vectors: DataFrame, queries: Column, k: int = K, target: float = TARG
         short, short_path = written(asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti"), "short")
         paths.append(short_path)
         if not short.isEmpty():
-            asked = short
-            more = _searched(cells, cells_of(model.probes, None).withColumn("floor", F.lit(None).cast("double")), model, size, k, rerank)
+            more = _searched(cells, visits(short, model, size, of_lists, False, None), model, size, k, rerank)
             paths.append(found_path)
-            found, _ = written(found.unionByName(more), "found")
+            found, _ = written(found.unionByName(more).dropDuplicates(["query_id", "vec_id"]), "found")
     delete(spark, *paths)
     return top(found.drop("cell"), k)
 
 
-def _cells(dealt: DataFrame, size: int) -> DataFrame:
-    """(cell, list, ids, codes, vectors): the rows of each cell as arrays of bytes, repeated ids left out."""
+def _cell_of(first: list[int], pieces: list[int]):
+    """Deals the rows of each list to its cells by their ids."""
+    start, n = np.array(first, np.int64), np.maximum(np.array(pieces, np.int64), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    yield one(held)
-                    held = []
-                if not held or row[2] != held[-1][2]:
-                    held.append(row)
-        if held:
-            yield one(held)
+            lists = np.asarray(batch.column(1))
+            mixed = np.asarray(batch.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+            cells = start[lists] + (mixed % n[lists].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column(1), batch.column(0), batch.column(2), batch.column(3)], ["cell", "list", "vec_id", "codes", "flat"])
 
-    def one(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([h[2] for h in held], np.int64).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([held[0][0]]), pa.array([held[0][1]]), pa.array([ids]), pa.array([b"".join(h[3] for h in held)]), pa.array([_matrix([h[4] for h in held], size).tobytes()])], ["cell", "list", "ids", "codes", "vectors"])
-
-    ordered = dealt.select("cell", "list", "vec_id", "codes", "vector").repartition("cell").sortWithinPartitions("cell", "vec_id", "vector")
-    return ordered.mapInArrow(run, "cell long, list long, ids binary, codes binary, vectors binary")
+    return run

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm import ball_tree, ivf_pq, packing, page_archives, pfor, queries, token_ids, warc
+from tabulon.llm.common import written
 
 
 def test_chunked_framing():
@@ -249,8 +250,45 @@ def test_exact_search(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0, 5.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ball_tree.search(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
     huge = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        ball_tree.search(huge, F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in ball_tree.search(huge, F.col("vec_id") == 0).collect()] == [(0, 1, 1, (1 << 63) - 1)]
+    vast = spark.createDataFrame([(k, [1e300, -1e300 * k]) for k in range(30)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ball_tree.search(vast, F.col("vec_id") == 7, shard_rows=4).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def clustered(spark, n=600, size=6, apart=10.0):
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(8, size)) * apart
+    rows = [(k, (middles[k % 8] + rng.normal(size=size)).tolist()) for k in range(n)]
+    return dict(rows), spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_clusters_that_cannot_reach_are_not_asked(spark, monkeypatch):
+    real, table = clustered(spark)
+    made = {}
+    monkeypatch.setattr(ball_tree, "written", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    monkeypatch.setattr(ball_tree, "delete", lambda *_: None)
+    got = ball_tree.search(table, F.col("vec_id") % 50 == 0, shard_rows=75, block_queries=4).collect()
+    asked = sum(len(r.ids) // 8 for r in made["asked"][1][0].collect())
+    shards = made["shards"][0][0].count()
+    assert asked < 0.6 * 12 * (shards - 1)
+    ints = {k: np.floor(256 * np.array(v)).astype(np.int64) for k, v in real.items()}
+    for q in range(0, 600, 50):
+        want = sorted((-int(v @ ints[q]), k) for k, v in ints.items() if k != q)[:5]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_repeated_ids_count_once_by_their_first_vector(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(200)] + [(20, [50.0, 0.0, 0.0, 0.0]), (20, [60.0, 0.0, 0.0, 0.0]), (100, [-70.0, 1.0, 1.0, 1.0])]
+    first = {}
+    for k, v in rows:
+        first[k] = min(first.get(k, v), v)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for search, scale in ((ball_tree.search, 256), (ivf_pq.search, 1)):
+        got = search(table, F.col("vec_id") % 50 == 0).collect()
+        assert len({(r.query_id, r.vec_id) for r in got}) == len(got)
+        ints = {k: np.floor(np.array(v) * 256) if scale == 256 else np.array(v) for k, v in first.items()}
+        assert all(r.score == pytest.approx(ints[r.query_id] @ ints[r.vec_id]) for r in got)
 
 
 def test_tree_prunes_and_stays_exact():
