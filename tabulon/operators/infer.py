@@ -104,15 +104,15 @@ def hints(profiles: list[Profile], has_header: bool) -> list[Hint]:
         said = from_label(label) if label else "UNKNOWN"
         shape, confidence, why = from_shape(p)
         if contradicts(said, shape, p.type):
-            out.append(Hint(k, label, "UNKNOWN", CONFLICT_CONFIDENCE, f"the label says {said}, the values are {p.type} ({why})"))
+            out.append(Hint(k, label, "UNKNOWN", CONFLICT_CONFIDENCE, f"called {said}, but made of {p.type}: {why}"))
             continue
         meaning = shape
         if said != "UNKNOWN":
             more, most = AGREEMENT
             agree = said == shape
-            meaning, confidence, why = said, min(most, confidence + more) if agree else LABEL_CONFIDENCE, f"label and values agree: {why}" if agree else f"taken from the label, the values are {p.type}"
+            meaning, confidence, why = said, min(most, confidence + more) if agree else LABEL_CONFIDENCE, f"called so, and made of {why}" if agree else f"called so; {p.type} values don't speak against it"
         if confidence < LEAST_CONFIDENCE:
-            meaning, why = "UNKNOWN", why or "not enough evidence"
+            meaning, why = "UNKNOWN", why or "neither label nor values tell"
         name = label or (f"column_{k}" if meaning == "UNKNOWN" else DEFAULT_NAMES.get(meaning, meaning.lower()))
         uses[name] += 1
         out.append(Hint(k, name if uses[name] == 1 else f"{name}_{uses[name]}", meaning, confidence, why))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +124,11 @@ def estimate_rows(file_bytes: int, sampled_rows: int, sampled_bytes: int, comple
 
 def column_counts(df: DataFrame) -> DataFrame:
     """(name, row_count, null_count, distinct_count, min_length, max_length) of each column of a typed table."""
-    frames = []
-    for name in df.columns:
+    made = []
+    for k, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
         text = F.octet_length(c.cast("string")).cast("bigint")
-        frames.append(df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("row_count"), F.count_if(c.isNull()).alias("null_count"), F.count_distinct(c).alias("distinct_count"), F.min(text).alias("min_length"), F.max(text).alias("max_length")))
-    return reduce(DataFrame.unionByName, frames)
+        made += [F.count_if(c.isNull()).alias(f"n{k}"), F.count_distinct(c).alias(f"d{k}"), F.min(text).alias(f"lo{k}"), F.max(text).alias(f"hi{k}")]
+    row = lambda k, name: F.struct(F.lit(name).alias("name"), F.col("rows").alias("row_count"), *(F.col(f"{c}{k}").alias(n) for c, n in (("n", "null_count"), ("d", "distinct_count"), ("lo", "min_length"), ("hi", "max_length"))))
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *made)
+    return counts.select(F.inline(F.array(*(row(k, name) for k, name in enumerate(df.columns)))))

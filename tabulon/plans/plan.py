@@ -97,24 +97,24 @@ def _names(data: dict, *keys: str) -> tuple[str, ...]:
 
 def _operation(data: object) -> Operation:
     if not isinstance(data, dict) or not isinstance(data.get("type"), str):
-        raise PlanError("an operation needs a type")
+        raise PlanError("every operation says its type")
     kind = _TYPES.get(data["type"].lower())
     match kind:
         case "project":
             columns, expr, alias = _names(data, "columns"), _text(data, "expr", "expression"), _text(data, "as", "alias")
             if not columns and not expr:
-                raise PlanError("project needs columns or an expr")
+                raise PlanError("project lists columns or gives an expr")
             if expr and not alias:
-                raise PlanError("project needs a name for its expr")
+                raise PlanError("a computed column has to be named with as")
             return Operation(kind, columns=columns, expr=expr, alias=alias)
         case "filter":
             if not (predicate := _text(data, "predicate", "expr", "condition")):
-                raise PlanError("filter needs a predicate")
+                raise PlanError("a filter without a predicate keeps nothing apart")
             return Operation(kind, predicate=predicate)
         case "group_by":
             columns = _names(data, "columns") or tuple(filter(None, (_text(data, "column"),)))
             if not columns:
-                raise PlanError("group_by needs columns")
+                raise PlanError("group_by has to say by which columns")
             return Operation(kind, columns=columns)
         case "aggregate":
             function = AGGREGATES.get(_text(data, "function", "fn").lower())
@@ -125,14 +125,14 @@ def _operation(data: object) -> Operation:
         case "sort":
             order = _ORDERS.get((_text(data, "order") or "asc").lower())
             if not (column := _text(data, "column", "by")) or not order:
-                raise PlanError("sort needs a column and an order of asc or desc")
+                raise PlanError("a sort is by a column, asc or desc")
             return Operation(kind, column=column, order=order)
         case "limit":
             rows = _first(data, "n", "rows", "limit")
             if isinstance(rows, float) and rows.is_integer():
                 rows = int(rows)
             if not isinstance(rows, int) or isinstance(rows, bool) or rows <= 0:
-                raise PlanError("limit needs a positive number of rows")
+                raise PlanError("a limit is a whole number of rows from 1 on")
             return Operation(kind, rows=rows)
     raise PlanError(f"unknown operation {data['type']!r}")
 
@@ -153,5 +153,5 @@ def parse_plan(source: str | dict) -> Plan:
             raise PlanError(f"not JSON: {e}") from None
     _depth(source)
     if not isinstance(source, dict) or not isinstance(source.get("operations"), list) or not source["operations"]:
-        raise PlanError("a plan needs a list of operations")
+        raise PlanError("a plan is an object with a list of operations")
     return Plan(tuple(map(_operation, source["operations"])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from tabulon import types as t
 from tabulon.functions import values
+from tabulon.plans.pruning import stored
 
 BAD = "__bad"
 RAW = "__raw"
@@ -37,7 +39,12 @@ class Dataset:
 
     schema: t.Schema
 
-    def scan(self, columns: list[str], policy: str = "skip") -> Scan:
+    def scan(self, columns: list[str], policy: str = "skip", ranges: Iterable[tuple] = ()) -> Scan:
+        """``ranges`` (see ``tabulon.plans.pruning``) may spare rows that no filter of the plan keeps."""
+        raise NotImplementedError
+
+    def on(self, spark: SparkSession) -> Dataset:
+        """The same dataset read in another session."""
         raise NotImplementedError
 
     def bytes(self) -> int:
@@ -49,12 +56,20 @@ class ParquetDataset(Dataset):
 
     def __init__(self, spark: SparkSession, path: str, types: dict[str, str] | None = None) -> None:
         """``types`` sets the physical types of some columns, as a confirmed schema does."""
-        self.path, self.df = path, spark.read.parquet(path)
+        self.path, self.types, self.df = path, types, spark.read.parquet(path)
         fields = self.df.schema.fields
         self.schema = t.Schema(tuple(t.Column(f.name, k, (types or {}).get(f.name, t.of_spark(f.dataType))) for k, f in enumerate(fields)), dataset=path)
 
-    def scan(self, columns: list[str], policy: str = "skip") -> Scan:
-        return Scan(self.df.select(*(self._typed(c) for c in columns), F.lit(False).alias(BAD)), BAD, False)
+    def scan(self, columns: list[str], policy: str = "skip", ranges: Iterable[tuple] = ()) -> Scan:
+        df = self.df
+        for name, what, op, value in ranges:
+            column = self.schema.resolve(name)
+            said = stored(F.col(f"`{column.physical_name}`"), self.df.schema[column.index].dataType, column.physical_type, what, op, value)
+            df = df if said is None else df.where(said)
+        return Scan(df.select(*(self._typed(c) for c in columns), F.lit(False).alias(BAD)), BAD, False)
+
+    def on(self, spark: SparkSession) -> ParquetDataset:
+        return ParquetDataset(spark, self.path, self.types)
 
     def _typed(self, name: str) -> Column:
         column = self.schema.resolve(name)
@@ -98,7 +113,10 @@ class CsvDataset(Dataset):
         """All rows of the right arity, as text by place."""
         return self._lines().where(F.col(RAW).isNull()).drop(RAW)
 
-    def scan(self, columns: list[str], policy: str = "skip") -> Scan:
+    def on(self, spark: SparkSession) -> CsvDataset:
+        return CsvDataset(spark, self.path, self.schema)
+
+    def scan(self, columns: list[str], policy: str = "skip", ranges: Iterable[tuple] = ()) -> Scan:
         lines, dialect = self._lines(), self.schema.dialect
         found = [self.schema.resolve(c) for c in columns]
         text = [F.col(f"c{c.index}") for c in found]

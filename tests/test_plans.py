@@ -67,7 +67,7 @@ def test_aggregates_by_type():
 def test_implicit_rules_warn():
     listing = found({"type": "project", "columns": ["country", "country"]})
     assert (listing.plan.limit, listing.plan.names) == (1000, ["country", "country"])
-    assert "limit 1000" in listing.warnings[0]
+    assert "1000 rows" in listing.warnings[0]
     assert not found({"type": "aggregate", "function": "count"}).plan.limit
     grouped = found({"type": "group_by", "column": "rate"})
     assert grouped.plan.names == ["rate", "row_count"]

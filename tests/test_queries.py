@@ -57,3 +57,26 @@ def test_stream(spark, tmp_path):
     assert {r.g: r.s for r in spark.table("streamed").collect()} == want
     with pytest.raises(Rejected):
         stream(spark, str(tmp_path / "in"), schema, {"operations": [{"type": "limit", "n": 3}]})
+
+
+def _explained(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["flagship", "filter_gt", "filter_ge", "filter_lt", "filter_between", "filter_and", "nl_count", "nl_total_by"])
+def test_ranges_of_stored_values_reach_the_scan(spark, name):
+    text = _explained(catalog.queries()[name](spark, DATA))
+    pushed = text.split("PushedFilters: [")[-1].split("]")[0]
+    assert any(word in pushed for word in ("GreaterThan", "LessThan")), pushed
+
+
+@pytest.mark.parametrize("name", [n for n, (_, operations, _) in catalog.PLANS.items() if catalog._ALL in operations and "agg" not in n and not any(o.get("type") in ("sort", "aggregate", "group_by") for o in operations)])
+def test_listings_stay_where_their_rows_are(spark, name):
+    text = _explained(catalog.queries()[name](spark, DATA))
+    assert "SinglePartition" not in text
+    assert "GlobalLimit" not in text
+
+
+def test_profile_counts_scans_once(spark):
+    text = _explained(catalog.profile_counts(spark, DATA)).split("== Physical Plan ==")[-1]
+    assert text.count("FileScan") <= 1 + text.count("Initial Plan")
