@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon import files
 from tabulon.sources import sniff
 from tabulon.sources.dataset import CsvDataset
 
@@ -41,29 +44,24 @@ def reservoir(dataset: CsvDataset, target: int = TARGET, seed: int = SEED) -> Sa
 def head_and_probes(dataset: CsvDataset, target: int = TARGET, seed: int = SEED) -> Sample:
     """The first rows, and rows after the next line end of random places; reads little of a large file."""
     spark, dialect = dataset.spark, dataset.schema.dialect
-    length, width = sniff.file_length(spark, dataset.path), len(dataset.schema.columns)
+    held, width = files.below(spark, dataset.path), len(dataset.schema.columns)
+    starts = [0, *accumulate(size for _, size in held)]
     encoding = {"windows-1250": "cp1250"}.get(dialect.encoding, dialect.encoding)
     cut = lambda raw, most, whole: [r for r, _ in sniff.records(raw.decode(encoding, "replace"), dialect.delimiter, dialect.quote, most, whole)]
     head = sniff.head_of(spark, dataset.path)
-    rows = cut(head, HEAD_ROWS + dialect.has_header, len(head) == length)[dialect.has_header :]
-    if not dialect.quoted_newlines and length > len(head):
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dataset.path)
-        stream = path.getFileSystem(conf).open(path)
-        try:
-            for at in sorted(random.Random(seed).sample(range(length), min(PROBES, length))):
-                stream.seek(at)
-                piece = bytes(stream.readNBytes(_PROBE_BYTES))
-                line_end = piece.find(b"\n")
-                if line_end >= 0:
-                    rows += cut(piece[line_end + 1 :], PROBE_ROWS, False)
-        finally:
-            stream.close()
+    rows = cut(head, HEAD_ROWS + dialect.has_header, bool(held) and len(head) == held[0][1])[dialect.has_header :]
+    if not dialect.quoted_newlines and starts[-1] > len(head):
+        for at in sorted(random.Random(seed).sample(range(starts[-1]), min(PROBES, starts[-1]))):
+            file = bisect_right(starts, at) - 1
+            piece = files.read(spark, held[file][0], _PROBE_BYTES, at - starts[file])
+            line_end = piece.find(b"\n")
+            if line_end >= 0:
+                rows += cut(piece[line_end + 1 :], PROBE_ROWS, False)
     rows = [tuple(r) for r in rows if len(r) == width][:target]
     names = ", ".join(f"c{k} string" for k in range(width))
     return Sample(spark.createDataFrame(rows, names), False, "head+offsets")
 
 
 def sample(dataset: CsvDataset, target: int = TARGET, seed: int = SEED) -> Sample:
-    small = sniff.file_length(dataset.spark, dataset.path) <= SMALL_FILE
+    small = files.length(dataset.spark, dataset.path) <= SMALL_FILE
     return (reservoir if small else head_and_probes)(dataset, target, seed)

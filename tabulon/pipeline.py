@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
+from tabulon import files
 from tabulon import types as t
 from tabulon.operators import infer, profile, sample
 from tabulon.plans import engine, nl
@@ -43,7 +44,7 @@ def inspect(spark: SparkSession, path: str, use_sidecar: bool = True, proposals:
     schema = infer.overlay(schema, named)
     if kept := sidecar.load(path):
         schema = overlay_confirmed(schema, kept)
-    length = sniff.file_length(spark, path)
+    length = files.length(spark, path)
     n = profiles[0].rows if profiles else 0
     head = sniff.head_of(spark, path)
     per_row = len(head) / max(1, head.count(b"\n"))

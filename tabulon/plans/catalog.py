@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon import types as t
 from tabulon.operators import profile
 from tabulon.plans import engine, nl
+from tabulon.sources import round_trips
 from tabulon.sources.dataset import ParquetDataset
 
 #: Money in the test tables is stored as doubles; as confirmed columns it is decimal, so sums are exact.
@@ -185,8 +186,8 @@ PROFILE_SQL = " UNION ALL ".join(
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _plan(table, operations) for name, (table, operations, _) in PLANS.items()}
     found |= {name: _question(table, question) for name, (table, question, _) in QUESTIONS.items()}
-    return found | {"profile_counts": profile_counts}
+    return found | {"profile_counts": profile_counts} | {name: run for name, (run, _) in round_trips.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for of in (PLANS, QUESTIONS) for name, (_, _, sql) in of.items()} | {"profile_counts": PROFILE_SQL}
+    return {name: sql for of in (PLANS, QUESTIONS) for name, (_, _, sql) in of.items()} | {"profile_counts": PROFILE_SQL} | {name: sql for name, (_, sql) in round_trips.QUERIES.items()}

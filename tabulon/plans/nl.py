@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from tabulon import types as t
+from tabulon.operators.infer import Hint, normalised
+from tabulon.operators.profile import Profile
 from tabulon.plans.plan import Operation, Plan, PlanError, parse_plan
 
 # Fixed words of the question language.
@@ -21,6 +23,8 @@ AGGREGATE_WORDS = {
 }
 #: How many words from a keyword on may name its column.
 REACH = 4
+#: Longest name and reason that are taken from a provider.
+MAX_NAME, MAX_WHY = 64, 200
 
 
 class Provider(Protocol):
@@ -110,12 +114,53 @@ def prompt(schema: t.Schema, question: str) -> str:
 
 def reply_plan(reply: str) -> Plan:
     """The plan in a provider's reply, with or without a code fence around it."""
+    text = _object(reply)
+    if not text:
+        raise PlanError("the reply holds no JSON object")
+    return parse_plan(text)
+
+
+def _object(reply: str) -> str:
+    """The JSON object in a reply, or nothing."""
     fenced = re.search(r"```(?:json)?\s*(.*?)```", reply, re.S)
     text = fenced[1] if fenced else reply
     start, end = text.find("{"), text.rfind("}")
-    if start < 0 or end < start:
-        raise PlanError("the reply holds no JSON object")
-    return parse_plan(text[start : end + 1])
+    return text[start : end + 1] if 0 <= start < end else ""
+
+
+def schema_prompt(schema: t.Schema, profiles: list[Profile]) -> str:
+    """What a remote provider is told for naming columns: types and figures of a sample, never a value."""
+    known = {p.name: p for p in profiles}
+    columns = []
+    for c in schema.columns:
+        p = known.get(c.physical_name)
+        figures = {"filled": round(p.filled / p.rows, 3) if p.rows else 0.0, "different": round(p.unique_ratio, 3), "shortest": p.min_length, "longest": p.max_length} if p else {}
+        columns.append({"index": c.index, "label": c.physical_name, "type": c.physical_type} | figures)
+    return "\n".join((
+        "Answer with one JSON object {\"columns\": [{\"index\", \"name\", \"meaning\", \"confidence\", \"why\"}]} and nothing else.",
+        f"Meanings: {', '.join(t.SEMANTIC)}. A confidence lies between 0 and 1.",
+        f"Columns: {json.dumps(columns)}",
+    ))
+
+
+def reply_hints(reply: str, schema: t.Schema) -> list[Hint]:
+    """The proposals in a provider's reply, one for each column at most: names made plain, unknown meanings and confidences outside 0 to 1 put right, all else passed over."""
+    text = _object(reply)
+    try:
+        said = json.loads(text).get("columns") if text else None
+    except ValueError as reason:
+        raise PlanError(f"the reply isn't JSON: {reason}") from None
+    found: dict[int, Hint] = {}
+    places = {c.index: c for c in schema.columns}
+    for one in said if isinstance(said, list) else ():
+        index = one.get("index") if isinstance(one, dict) else None
+        if isinstance(index, bool) or not isinstance(index, int) or index not in places or index in found:
+            continue
+        confidence = one.get("confidence", 0)
+        sure = float(confidence) if isinstance(confidence, int | float) and confidence == confidence else 0.0
+        name = normalised(str(one.get("name") or ""))[:MAX_NAME] or places[index].query_name
+        found[index] = Hint(index, name, t.semantic_type(str(one.get("meaning") or "")), min(1.0, max(0.0, sure)), str(one.get("why") or "")[:MAX_WHY])
+    return [found[k] for k in sorted(found)]
 
 
 @dataclass
@@ -129,6 +174,10 @@ class Remote:
         found = reply_plan(self.ask(prompt(schema, question)))
         return Plan(found.operations, question, self.name)
 
+    def names(self, schema: t.Schema, profiles: list[Profile]) -> list[Hint]:
+        """Proposals for ``pipeline.inspect``; a person still has to confirm them."""
+        return reply_hints(self.ask(schema_prompt(schema, profiles)), schema)
+
 
 def resolve(asked: str = "", available: Mapping[str, Provider] | None = None, environment: Mapping[str, str] | None = None, configured: Mapping[str, str] | None = None) -> tuple[Provider, str]:
     """The provider named by the caller, the variable TABULON_PROVIDER or a configuration, in this order, or the mock; and why."""

@@ -6,6 +6,9 @@ import json
 from dataclasses import asdict, fields
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from tabulon import files
 from tabulon import types as t
 
 SUFFIX = ".engine-schema.json"
@@ -28,19 +31,37 @@ def from_json(text: str) -> t.Schema:
     return t.Schema(tuple(columns), dialect, data.get("dataset", ""))
 
 
-def path_of(dataset: str) -> Path:
-    return Path(dataset + SUFFIX)
+def path_of(dataset: str) -> str:
+    return dataset.rstrip("/") + SUFFIX
 
 
-def save(schema: t.Schema, dataset: str) -> Path:
-    path = path_of(dataset)
-    path.write_text(to_json(schema), encoding="utf-8")
+def _local(path: str) -> Path | None:
+    """The path on this machine; None on another file system.  Plain files may be edited by hand, as no checksum is kept of them."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file":
+        return Path("/" + rest.lstrip("/"))
+    return None if "://" in path else Path(path)
+
+
+def save(schema: t.Schema, dataset: str) -> str:
+    """Keep the schema next to its file, on the same file system."""
+    path, content = path_of(dataset), to_json(schema).encode()
+    local = _local(path)
+    if local:
+        local.write_bytes(content)
+    else:
+        files.write(SparkSession.active(), path, content)
     return path
 
 
 def load(dataset: str) -> t.Schema | None:
     """The kept schema, or None if there is none or it can't be read."""
+    path = path_of(dataset)
+    local = _local(path)
     try:
-        return from_json(path_of(dataset).read_text(encoding="utf-8"))
+        if local:
+            return from_json(local.read_text(encoding="utf-8"))
+        spark = SparkSession.active()
+        return from_json(files.read(spark, path).decode()) if files.exists(spark, path) else None
     except (OSError, ValueError, KeyError, TypeError):
         return None

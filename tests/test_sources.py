@@ -96,7 +96,7 @@ def test_empty_global_aggregate(inspected):
 
 
 def test_rejected_plans_do_not_run(inspected):
-    with pytest.raises(engine.Rejected, match="not defined"):
+    with pytest.raises(engine.Rejected, match="there is no sum"):
         engine.run(inspected.dataset, {"operations": [{"type": "aggregate", "function": "sum", "column": "country"}]})
 
 
