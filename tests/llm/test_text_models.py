@@ -68,7 +68,9 @@ def plain_kneser_ney(texts, order):
         marks = edge + list(text)
         grams[order].update(tuple(marks[k : k + order]) for k in range(len(text)))
     for k in range(order - 1, 0, -1):
-        grams[k] = Counter(g[1:] for g in grams[k + 1])
+        grams[k] = Counter()
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if g[1] == "^" else 1  # a text's start continues nothing
     size = len({g[-1] for g in grams[1]}) + 1
     discounts = {}
     for k, table in grams.items():
@@ -103,7 +105,54 @@ def test_kneser_ney_against_its_definition(spark):
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(asked)], "doc_id long, text string")
     got = {r.doc_id: r.bits for r in kneser_ney.score(docs, model, 3).collect()}
     for k, text in enumerate(asked):
-        assert got[k] == pytest.approx(plain(text.replace("z", "\x01").replace("x", "\x01")), abs=1e-5) if text else got[k] is None
+        assert got[k] == pytest.approx(plain(text), abs=1e-5) if text else got[k] is None
+
+
+def test_long_texts_are_scored_in_pieces_alike(spark, monkeypatch):
+    texts = ["abracadabra", "abc abd", "cab bac abba"]
+    model = kneser_ney.train(spark.createDataFrame([(x,) for x in texts], "text string"), 4)
+    docs = spark.createDataFrame([(0, "abra cad abra ž" * 9)], "doc_id long, text string")
+    (whole,) = kneser_ney.score(docs, model, 4).collect()
+    keys = kneser_ney.keys_of("abra cad abra ž" * 9, 4)
+    for size in (1, 3, 50):
+        monkeypatch.setattr(kneser_ney, "SLICE", size)
+        pieces = [*kneser_ney._slices("abra cad abra ž" * 9, 4)]
+        total = sum(model.scores(kneser_ney.keys_of(piece, 4))[lead:].sum() for piece, lead in pieces)
+        assert -total / len(keys[0]) == pytest.approx(whole.bits)
+
+
+def test_verdicts_against_their_definition(spark):
+    """Every column of the query's table, from plain versions of the halves, the model and the quantiles."""
+    rng = np.random.default_rng(9)
+    letters = {"en": list("abcdefg  "), "de": list("uvwxyz  ")}
+    rows = [(k, "".join(rng.choice(letters[("en", "de")[k % 2]], 60)), ("en", "de")[k % 2]) for k in range(30)] + [(40, "###!!", "en"), (41, None, "en"), (42, "abc fed", None), (43, "uv ÄÖ", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = [(k, 1) for k in range(24)] + [(40, 0), (3, 0)]
+    found = {r.doc_id: r for r in kneser_ney.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    good = {i for i, q in labels if q == 1}
+    middle = sorted(hashes[i] for i in good)[len(good) // 2]
+    plain = [plain_kneser_ney([t for i, t, _ in rows if i in good and (hashes[i] >= middle) != k], 5) for k in (False, True)]
+    bits = {i: plain[hashes[i] >= middle](t) if t else None for i, t, _ in rows}
+
+    def quantile(values, share):
+        bins = sorted(math.floor(x * 2048) for x in values)
+        return bins[max(math.ceil(len(bins) * share), 1) - 1] / 2048
+
+    median = quantile([bits[i] for i in good], 0.5)  # no language has 50 trusted documents
+    level = {i: median + (bits[i] - median) * math.sqrt(len(t) / (len(t) + 500)) for i, t, _ in rows if t}
+    low, high = (quantile([level[i] for i in good], q) for q in kneser_ney.QUANTILES)
+    low, high = low * 0.99, (high + 1 / 2048) * 1.01
+    for i, t, lang in rows:
+        r = found[i]
+        assert r.lang == (lang or "und")
+        assert (r.bits is None) == (not t)
+        if t:
+            assert (r.bits, r.perplexity, r.level) == pytest.approx((bits[i], 2 ** bits[i], level[i]), abs=2e-3)
+            assert (r.low, r.high) == pytest.approx((low, high), abs=2e-3)
+            assert r.good == (low <= level[i] <= high) or min(abs(level[i] - low), abs(level[i] - high)) < 2e-3
+        else:
+            assert not r.good
 
 
 def test_quality(spark, documents):
