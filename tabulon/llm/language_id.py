@@ -10,7 +10,9 @@ Text is folded to lower case and every run of non-letters becomes one blank, its
 Defined cases: a null text, an empty one or one without a letter gives ``und`` and score 0, and so
 does everything when nothing was learned.  Rows without a language or without a letter teach
 nothing.  Equal cosines go to the smaller language name.  Repeated rows count as often as they
-occur.  Texts are used whole; a batch is cut at ``SLICE`` characters, and only between texts.
+occur.  Texts are used whole; trigrams are counted in pieces of ``SLICE`` characters, each with the two
+symbols before it.  What comes to the driver and goes to every task is 8 * ``DIMENSIONS`` bytes (16 KB) for
+each language, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -22,10 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = 512
+DIMENSIONS = 2048
 SLICE = 2_000_000
-#: Prototypes are sent to every task: at most this many languages, each DIMENSIONS doubles (4 MB).
-MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _BLANK = 0
 _SHIFT = 21
@@ -44,7 +44,7 @@ class TrigramVectors:
     def _clear(self) -> None:
         self.known = np.empty(0, np.int64)
         self.rows = np.empty(0, np.int64)
-        self.vectors = np.empty((4096, self.dimensions), np.float32)
+        self.vectors = np.empty((4096, self.dimensions), np.int8)
 
     def _letter(self, code: int) -> np.ndarray:
         vector = self.letter_vectors.get(code)
@@ -61,9 +61,9 @@ class TrigramVectors:
     def bundle(self, trigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Sum of the trigrams' vectors, each as often as counted; the trigrams are distinct and sorted."""
         total = np.zeros(self.dimensions, np.float64)
-        for start in range(0, len(trigrams), 4096):
-            rows = self._rows(trigrams[start : start + 4096])
-            total += counts[start : start + 4096].astype(np.float32) @ self.vectors[rows]
+        for start in range(0, len(trigrams), 1024):
+            rows = self._rows(trigrams[start : start + 1024])
+            total += counts[start : start + 1024].astype(np.float32) @ self.vectors[rows].astype(np.float32)
         return total
 
     def _rows(self, trigrams: np.ndarray) -> np.ndarray:
@@ -120,18 +120,51 @@ def _shared(dimensions: int) -> TrigramVectors:
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about SLICE characters, with the place of the first."""
+    """Runs of texts of about SLICE characters, with the place of the first; a longer text is a run of its own."""
     start, size, held = 0, 0, []
     for k, text in enumerate(texts):
+        if held and size + len(text or "") > SLICE:
+            yield start, held
+            start, size, held = k, 0, []
         held.append(text or "")
         size += len(held[-1])
-        if size >= SLICE:
-            yield start, held
-            start, size, held = k + 1, 0, []
     if held:
         yield start, held
 
 
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in pieces of about SLICE characters, and whether something comes before.
+
+    A piece ends after a letter that a blank follows; the next one begins with that letter, so its
+    first trigram, which has a blank before the letter, isn't one of the text's.
+    """
+    start, more = 0, False
+    while len(text) - start > SLICE:
+        end = start + max(SLICE, 2)
+        while end < len(text) and not (text[end] == " " and text[end - 1].isalpha()):
+            end += 1
+        if end == len(text):
+            break
+        yield text[start:end], more
+        start, more = end - 1, True
+    yield text[start:], more
+
+
+def _bundles(vectors: TrigramVectors, texts: list[str]) -> Iterator[np.ndarray | None]:
+    """Each text's bundle; None for a text without a letter."""
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        total = None
+        for piece, more in _pieces(texts[0].lower()):  # what a letter becomes may depend on its neighbours
+            (codes,) = vectors.trigrams([piece])
+            if len(codes := codes[int(more) :]):
+                found = vectors.bundle(*np.unique(codes, return_counts=True))
+                total = found if total is None else total + found
+        yield total
+        return
+    for codes in vectors.trigrams(texts):
+        yield vectors.bundle(*np.unique(codes, return_counts=True)) if len(codes) else None
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Language prototypes, bundled per partition and language and then added up by Spark."""
 
@@ -141,6 +174,11 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for start, texts in _slices(batch.column(0).to_pylist()):
+                if len(texts) == 1 and len(texts[0]) > SLICE:
+                    (found,) = _bundles(vectors, texts)
+                    if found is not None:
+                        sums[langs[start]] = sums[langs[start]] + found if langs[start] in sums else found
+                    continue
                 by_lang: dict[str, list[np.ndarray]] = {}
                 for name, codes in zip(langs[start : start + len(texts)], vectors.trigrams(texts), strict=True):
                     if len(codes):
@@ -154,13 +192,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
     named = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
     parts = named.mapInArrow(bundles, "lang string, bundle array<long>")
     sums = parts.select("lang", F.posexplode("bundle")).groupBy("lang", "pos").agg(F.sum("col").alias("total"))
-    rows = sums.limit(MAX_LANGUAGES * dimensions + 1).collect()
-    if len(rows) > MAX_LANGUAGES * dimensions:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    prototypes: dict[str, np.ndarray] = {}
-    for row in rows:
-        prototypes.setdefault(row.lang, np.zeros(dimensions))[row.pos] = row.total
-    return dict(sorted(prototypes.items()))
+    whole = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "total"))), lambda x: x["total"]).alias("bundle")).toArrow()
+    names, bundles_ = whole.column(0).to_pylist(), whole.column(1)
+    return {name: np.array(bundles_[k].as_py(), np.float64) for name, k in sorted(zip(names, range(len(names)), strict=True))}
 
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dimensions: int = DIMENSIONS, made: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -174,12 +208,11 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
         for batch in batches:
             langs, scores = [], []
             for _, texts in _slices(batch.column(place).to_pylist()):
-                for codes in vectors.trigrams(texts):
-                    if not len(codes) or not names:
+                for bundle in _bundles(vectors, texts):
+                    if bundle is None or not names:
                         langs.append(UNKNOWN)
                         scores.append(0.0)
                         continue
-                    bundle = vectors.bundle(*np.unique(codes, return_counts=True))
                     cosines = profile @ bundle / (np.linalg.norm(bundle) or 1)
                     best = int(np.argmax(cosines))
                     langs.append(names[best])

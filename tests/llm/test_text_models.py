@@ -54,6 +54,48 @@ def test_bundles_are_sums_of_bound_letters():
     assert [len(c) for c in v.trigrams(["", "a", "1", "x\x00y", "Ab, c"])] == [0, 1, 0, 3, 4]
 
 
+def plain_bundle(text, dimensions):
+    """The bundle by definition, trigram by trigram."""
+    v = language_id.TrigramVectors(dimensions)
+    symbols = [ord(c) if c.isalpha() else 0 for c in f" {(text or '').lower()} "]
+    folded = [c for k, c in enumerate(symbols) if c or not k or symbols[k - 1]]
+    if not any(folded):
+        return None
+    letters = {c: v._letter(c).astype(float) for c in set(folded)}
+    return sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(folded, folded[1:], folded[2:], strict=False))
+
+
+def test_predictions_against_their_definition(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").where("length(text) < 3000")
+    rows = docs.collect()
+    found = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    bundles = {r.doc_id: plain_bundle(r.text, language_id.DIMENSIONS) for r in rows}
+    prototypes = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and bundles[r.doc_id] is not None:
+            prototypes[r.lang] = prototypes.get(r.lang, 0) + bundles[r.doc_id]
+    for r in rows:
+        got, own = found[r.doc_id], bundles[r.doc_id]
+        if own is None:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        cosines = {name: p @ own / np.linalg.norm(p) / np.linalg.norm(own) for name, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got.score == pytest.approx(max(0.0, cosines[best]), abs=1e-5)
+        assert got.lang_pred == best or cosines[got.lang_pred] == pytest.approx(cosines[best], abs=1e-5)
+
+
+def test_long_texts_are_bundled_in_pieces_alike(monkeypatch):
+    v = language_id.TrigramVectors(64)
+    text = "  Ab, cd  efg! hi ΑΣ jklmnopqrstuvwxyz12 a b c 3 " * 7
+    (whole,) = language_id._bundles(v, [text])
+    for size in (1, 5, 17):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert len([*language_id._pieces(text)]) > 1
+        (pieced,) = language_id._bundles(v, [text])
+        assert (pieced == whole).all()
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -267,7 +309,30 @@ def test_streaming_viterbi_against_its_definition():
         text = "".join(rng.choice(list("ab c"), rng.integers(1, 40)))
         want = best_cut(codec, pieces, scores, "▁" + text.replace(" ", "▁"))
         assert codec.encode(text).tolist() == want
-        assert [i for part in codec.stream("▁" + text.replace(" ", "▁")) for i in part] == want
+        marked = "▁" + text.replace(" ", "▁")
+        assert [i for part in codec.stream(marked) for i in part] == want
+        assert [i for part in codec.stream(marked, remember=True) for i in part] == want
+
+
+def test_words_remembered_in_any_order_give_the_same_ids():
+    rng = np.random.default_rng(12)
+    pieces = ["<unk>", "▁", "a", "b", "aa", "ab", "▁a", "▁b", "aab", "abba", "▁ab", "▁▁"]
+    scores = [0.0, *(-rng.integers(1, 9, len(pieces) - 1)).astype(float).tolist()]
+    codec = unigram.Codec(pieces, scores, ["unknown", *["normal"] * (len(pieces) - 1)])
+    assert codec.by_words
+    for _ in range(200):
+        text = "▁" + "".join(rng.choice(list("ab▁c"), rng.integers(1, 60)))
+        plain = [i for part in unigram.Codec(pieces, scores, ["unknown", *["normal"] * (len(pieces) - 1)]).stream(text) for i in part]
+        assert [i for part in codec.stream(text, remember=True) for i in part] == plain == best_cut(codec, pieces, scores, text)
+    assert len(codec.known) > 50
+
+
+def test_scores_are_kept_for_the_longest_piece_only():
+    codec = unigram.Codec(["<unk>", "aa"], [0, -1], ["unknown", "normal"])
+    text = "a" * 20_001  # the paths of even and of odd boundaries never meet
+    (portion,) = codec.stream(text)
+    assert len(portion) == 10_001
+    assert codec.longest + 1 == 3
 
 
 def test_window_stays_short_where_paths_meet():
