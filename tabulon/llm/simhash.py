@@ -355,8 +355,8 @@ def _alike_in_blocks(size: int, threshold: float):
     return run
 
 
-def _rest(others: DataFrame, labels: DataFrame, classes: DataFrame, texts_of, size: int, threshold: float, paths: list[str]) -> DataFrame:
-    """(a, b) links among the texts of a cell besides its first, where ``labels`` leave these in several components.
+def _rest(others: DataFrame, labels: DataFrame, classes: DataFrame, texts_of, size: int, threshold: float, paths: list[str]) -> DataFrame | None:
+    """(a, b) links among the texts of a cell besides its first, where ``labels`` leave these in several components; None if there are none.
 
     All texts of such a cell are compared, in pairs of blocks of about ``BLOCK_ROWS`` texts and
     ``BLOCK_CHARS`` characters, each pair in a group of its own: first the tries of their long
@@ -367,6 +367,8 @@ def _rest(others: DataFrame, labels: DataFrame, classes: DataFrame, texts_of, si
     open_ = ends.where("low <> high").groupBy("n", "docs").agg(F.min(F.struct("sample", "fp")).alias("p")).select("p.*")
     members, path = written(at.join(open_, ["sample", "fp"], "left_semi").join(classes.select("node", "chars", "long"), F.col("doc") == F.col("node")).drop("doc"), "open-cells")
     paths.append(path)
+    if members.isEmpty():
+        return None
     blocks = members.groupBy("sample", "fp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("chars") / BLOCK_CHARS, F.lit(1.0))).cast("long").alias("blocks"))
     dealt = members.join(blocks, ["sample", "fp"]).withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keys = ("sample", "fp", "x", "y")
@@ -374,8 +376,12 @@ def _rest(others: DataFrame, labels: DataFrame, classes: DataFrame, texts_of, si
     near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_near_in_blocks(LONG_BUDGET), "sample long, fp long, x long, y long, node long, component long")
     near, path = written(near, "near-rows")
     paths.append(path)
+    if near.isEmpty():
+        return None
     texts = near.join(texts_of(near.select("node").distinct()), "node").select(*keys, "node", "component", "text")
-    return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_alike_in_blocks(size, threshold), "a long, b long")
+    found, path = written(texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_alike_in_blocks(size, threshold), "a long, b long"), "links")
+    paths.append(path)
+    return None if found.isEmpty() else found
 
 
 def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, threshold: float = SIMILARITY) -> DataFrame:
@@ -409,15 +415,14 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         paths.append(path)
         return table
 
-    prints = classes.select(F.col("node").alias("doc"), F.explode("paths").alias("p")).select("doc", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
-    ends, path = written(prints.groupBy("sample", "fp").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cell-firsts")
+    prints = classes.select(F.col("node").alias("doc"), "long", F.explode("paths").alias("p")).select("doc", "long", F.col("p.samples").alias("sample"), F.col("p.prints").alias("fp"))
+    first = F.min(F.struct("doc", "long")).alias("first")
+    ends, path = written(prints.groupBy("sample", "fp").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cell-firsts")
     paths.append(path)
-    others, path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first"), "cell-others")
+    others, path = written(prints.join(ends, ["sample", "fp"]).where("doc <> first.doc"), "cell-others")
     paths.append(path)
-    long = classes.select("node", "long")
-    pairs = others.select("doc", "first").distinct()
-    pairs = pairs.join(long.toDF("doc", "long_a"), "doc").join(long.toDF("first", "long_b"), "first")
-    pairs, path = written(pairs.select("doc", "first", "long_a", "long_b").mapInArrow(_within_budget(LONG_BUDGET), "doc long, first long"), "pairs")
+    asked = others.select("doc", F.col("first.doc").alias("first"), "long", F.col("first.long").alias("first_long"))
+    pairs, path = written(asked.mapInArrow(_within_budget(LONG_BUDGET), "doc long, first long").distinct(), "pairs")
     paths.append(path)
     texts = texts_of(pairs.select(F.col("doc").alias("node")).union(pairs.select(F.col("first").alias("node"))).distinct())
     both = pairs.join(texts.toDF("doc", "a"), "doc").join(texts.toDF("first", "b"), "first").select("doc", "first", "a", "b")
@@ -430,9 +435,10 @@ def similar_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
 
     found, path = written(both.mapInArrow(alike, "a long, b long"), "links")
     paths.append(path)
-    rest, path = written(_rest(others, components(found, "a", "b"), classes, texts_of, size, threshold, paths), "links")
-    paths.append(path)
-    labels = components(found.unionByName(rest), "a", "b")
+    labels = components(found, "a", "b")
+    rest = _rest(others, labels, classes, texts_of, size, threshold, paths)
+    if rest is not None:
+        labels = components(labels.toDF("a", "b").unionByName(rest), "a", "b")
     named = classes.join(labels, "node", "left").select("h1", "h2", "doc_id", F.coalesce("component", "node").alias("component"))
     named, path = written(named, "components")
     paths.append(path)
