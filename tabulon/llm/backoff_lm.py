@@ -41,7 +41,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, words, written
+from tabulon.files import delete
+from tabulon.llm.common import words, written
 
 ORDER = 4
 #: mu of the contexts of one, two and three tokens.

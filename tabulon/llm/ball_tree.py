@@ -33,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.files import delete
 from tabulon.llm.clusters import finite, k_means, matrix, nearest, one_per_id, sampled
-from tabulon.llm.common import delete, written
+from tabulon.llm.common import written
 
 SCALE = 256
 K = 5

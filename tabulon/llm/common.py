@@ -2,57 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.files import fresh
+
 #: Bytes that end a word: space and the controls tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 _UPPER = bytes(range(65, 91))
 LOWER_AZ = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: the session's ``spark.checkpoint.dir``.
-
-    Only a session without the setting (a local test) gets a folder of this machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        context = spark.sparkContext
-        path = context.getCheckpointDir()
-        if not path:
-            if not context.master.startswith("local["):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tabulon-"))
-            path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` to the shared folder, return the table read back and its path."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def delete(spark: SparkSession, *paths: str) -> None:
-    """Remove tables that nothing reads any more, on whatever file system they are."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def crc_of_id(column: str) -> Column:
     """crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, written
+from tabulon.files import delete
+from tabulon.llm.common import written
 
 _MAX_ROUNDS = 100
 

@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, written
+from tabulon.files import delete
+from tabulon.llm.common import written
 
 BUCKETS = 16
 TOKEN_BUDGET = 32_768

@@ -6,8 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.files import delete, fresh
 from tabulon.llm import warc
-from tabulon.llm.common import delete, new_path, written
+from tabulon.llm.common import written
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -48,7 +49,7 @@ def archived(pages: DataFrame) -> DataFrame:
     kept, kept_path = written(kept, "kept-payloads")
     marked = rows.join(kept, "digest", "left")
     refers = F.when(long & (F.col("page_id") != F.col("keeper.page_id")), _record_id(F.col("keeper.page_id"), F.col("digest"), F.col("keeper.__row")))
-    path = new_path(spark, "warc")
+    path = fresh(spark, "warc")
     warc.write_archives(marked.select(_record_id(F.col("page_id"), F.col("digest"), F.col("__row")).alias("record_id"), "uri", "payload", "digest", refers.alias("refers_to")), path)
 
     read = warc.read_archives(spark, path).where("type in ('response', 'revisit')")

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import delete, words, written
+from tabulon.files import delete
+from tabulon.llm.common import words, written
 from tabulon.llm.components import components
 from tabulon.llm.fingerprints import distinct_hashes, prefix, sampled_fingerprints, similarity, wide_fingerprint, with_fingerprints
 

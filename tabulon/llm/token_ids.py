@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.files import delete, fresh
 from tabulon.llm import pfor
-from tabulon.llm.common import delete, new_path, words, written
+from tabulon.llm.common import words, written
 
 END_ID = 2
 FRAME_IDS = 1 << 16
@@ -198,7 +199,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from files that were written and read back."""
     spark = df.sparkSession
-    path = new_path(spark, "token-ids")
+    path = fresh(spark, "token-ids")
     write_files(df, path, tokenizer)
     facts = read_files(spark, path).select("doc_id", "partition", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     found, _ = written(facts, "token-facts")
