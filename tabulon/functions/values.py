@@ -37,11 +37,35 @@ def trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_SPACE))
 
 
+def _null_pattern(words: tuple[str, ...]) -> str:
+    """Fails at the first character of nearly every value."""
+    space = "[ \\t\\n\\x0B\\f\\r]*+"
+    return f"^{space}(?:(?i:{'|'.join(re.escape(w) for w in words if w)}){space})?\\z"
+
+
+_NULL, _NULL_TYPED = _null_pattern(NULL_WORDS), _null_pattern(NULL_WORDS_TYPED)
+
+
 def is_null(text: Column, kind: str) -> Column:
     """Whether a field stands for no value in a column of a type."""
-    bare = trimmed(text)
-    # Longer texts than the longest of these words aren't compared.
-    return text.isNull() | ((F.octet_length(bare) <= 4) & F.lower(bare).isin(*(NULL_WORDS if kind in t.TEXT else NULL_WORDS_TYPED)))
+    return text.isNull() | text.rlike(_NULL if kind in t.TEXT else _NULL_TYPED)
+
+
+def field(text: Column, kind: str, dialect: t.Dialect | None = None) -> Column:
+    """The value of a field of a type; null if it stands for none or doesn't parse.
+
+    Nearly all values are written in one plain way, which a single pattern tells; the other ways, and
+    blanks around values, are looked at only where that fails.
+    """
+    dialect = dialect or t.Dialect()
+    if kind in t.TEXT:
+        return F.when(~is_null(text, kind), text)
+    plain = {t.INT64: (r"^-?[0-9]{1,18}\z", "bigint"), t.DECIMAL: (r"^-?[0-9]{1,14}(?:\.[0-9]{1,4})?+\z", "decimal(18,4)"), t.FLOAT64: (r"^-?[0-9]{1,15}(?:\.[0-9]{1,15})?+\z", "double"), t.DATE: (r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}\z", "date"), t.DATETIME: (r"^[1-9][0-9]{3}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}\z", "timestamp_ntz")}
+    other = _bound(text, lambda x: F.when(~is_null(x, kind), parsed(x, kind, dialect)))
+    if kind not in plain or (kind in (t.DECIMAL, t.FLOAT64) and dialect.decimal_separator != ".") or (kind in t.NUMERIC and dialect.thousands_separator == "."):
+        return other
+    pattern, name = plain[kind]
+    return F.coalesce(F.when(text.rlike(pattern), text.try_cast(name)), other)
 
 
 def _plain_number(text: Column, dialect: t.Dialect) -> Column:

@@ -120,9 +120,10 @@ class CsvDataset(Dataset):
         lines, dialect = self._lines(), self.schema.dialect
         found = [self.schema.resolve(c) for c in columns]
         text = [F.col(f"c{c.index}") for c in found]
-        null = [values.is_null(x, c.physical_type) for x, c in zip(text, found, strict=True)]
-        value = [F.when(~n, values.parsed(x, c.physical_type, dialect)) for x, n, c in zip(text, null, found, strict=True)]
-        wrong = [~n & v.isNull() for n, v, c in zip(null, value, found, strict=True) if c.physical_type not in t.TEXT]
+        value = [values.field(x, c.physical_type, dialect) for x, c in zip(text, found, strict=True)]
+        # Values are made in a projection of their own, once, and looked at in the next.
+        wrong = [F.col(f"__v{k}").isNull() & ~values.is_null(x, c.physical_type) for k, (x, c) in enumerate(zip(text, found, strict=True)) if c.physical_type not in t.TEXT]
+        lines = lines.select("*", *(v.alias(f"__v{k}") for k, v in enumerate(value)))
         # Spark refuses to read the corrupt record alone, so the arity test also looks at the first field.
         arity = F.when(F.col(RAW).isNotNull(), True).otherwise(F.length(f"c{self.schema.columns[0].index}") < 0)
         bad = reduce(Column.__or__, wrong, F.coalesce(arity, F.lit(False)))
@@ -133,7 +134,7 @@ class CsvDataset(Dataset):
         # The second term is always true.  As it isn't deterministic, no filter is pushed below this projection, which
         # would parse every field once more for the filter.
         once = F.coalesce(bad, F.lit(False)) & (F.spark_partition_id() >= 0)
-        rows = lines.select(*(v.alias(name) for v, name in zip(value, columns, strict=True)), once.alias(BAD))
+        rows = lines.select(*(F.col(f"__v{k}").alias(name) for k, name in enumerate(columns)), once.alias(BAD))
         quarantine = None
         if policy == "quarantine":
             joined = F.concat_ws(dialect.delimiter, *(F.col(f"c{c.index}") for c in self.schema.columns))
