@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.files import delete
 from tabulon.llm import kneser_ney, language_id, packing, simhash
 from tabulon.llm.common import table, written
 from tabulon.llm.queries import byte_pairs
@@ -58,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's table over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if last:
+            delete(spark, last)
+        last = path
     return docs
