@@ -1,10 +1,11 @@
-"""The command line: profile, schema, query, plan and gen."""
+"""The command line: profile, schema, query, plan, gen, bench, models and selftest."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -49,6 +50,43 @@ def _show(outcome: engine.Outcome, json_output: bool) -> None:
         print(f"warning: {warning}", file=sys.stderr)
 
 
+BENCH_PLAN = {"operations": [
+    {"type": "project", "expr": "year(timestamp)", "as": "y"}, {"type": "filter", "predicate": "y == 2025"}, {"type": "group_by", "column": "country"},
+    {"type": "aggregate", "function": "sum", "column": "amount", "as": "total"}, {"type": "sort", "column": "total", "order": "desc"},
+]}
+
+
+def bench_splits(spark: SparkSession, folder: str, rows: int, repeats: int) -> Iterator[str]:
+    """Seconds of a grouped sum over generated text, for growing numbers of splits."""
+    generator.generate(spark, folder, rows)
+    found = pipeline.inspect(spark, folder, use_sidecar=False)
+    yield "splits\tseconds\tMiB/s"
+    splits = 1
+    while splits <= max(1, spark.sparkContext.defaultParallelism):
+        reports = []
+        for _ in range(repeats):
+            outcome = pipeline.run(found, BENCH_PLAN, engine.Options(partitions=splits))
+            outcome.collect()
+            reports.append(outcome.report)
+        best = min(reports, key=lambda r: r.seconds)
+        yield f"{splits}\t{best.seconds:.3f}\t{best.throughput:.1f}"
+        splits *= 2
+
+
+def selftest_of(spark: SparkSession, folder: str) -> list[str]:
+    """What a generated file's scan gets wrong, over several splits and with corrupt rows."""
+    totals = generator.generate(spark, folder, 5_000, corrupt=0.02, partitions=4)
+    found = pipeline.inspect(spark, folder, use_sidecar=False)
+    plan = {"operations": [{"type": "aggregate", "function": "count"}, {"type": "aggregate", "function": "sum", "column": "amount"}]}
+    want, wrong = [totals.rows - totals.corrupted, totals.total_amount], []
+    for splits in (1, 7):
+        outcome = pipeline.run(found, plan, engine.Options(partitions=splits))
+        got = outcome.collect()[0]
+        if got != want or outcome.report.bad_rows != totals.corrupted:
+            wrong.append(f"{splits} splits: {got} and {outcome.report.bad_rows} bad rows, not {want} and {totals.corrupted}")
+    return wrong
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tabulon")
     parser.add_argument("--workers", type=int)
@@ -69,12 +107,35 @@ def main(arguments: list[str] | None = None) -> int:
     gen.add_argument("--seed", type=int, default=generator.DEFAULT_SEED)
     gen.add_argument("--corrupt", type=float, default=0.0)
     gen.add_argument("--no-header", action="store_true")
+    gen.add_argument("--null", type=float, default=0.01)
+    gen.add_argument("--delimiter", default=",")
+    gen.add_argument("--decimal", default=".")
+    gen.add_argument("--files", type=int, default=1)
+    bench = commands.add_parser("bench")
+    bench.add_argument("folder")
+    bench.add_argument("--rows", type=int, default=1_000_000)
+    bench.add_argument("--repeats", type=int, default=3)
+    commands.add_parser("models")
+    selftest = commands.add_parser("selftest")
+    selftest.add_argument("folder")
     args = parser.parse_args(arguments)
     spark = session(args.workers)
     try:
         if args.command == "gen":
-            print(generator.generate(spark, args.folder, args.rows, args.seed, not args.no_header, args.corrupt))
+            print(generator.generate(spark, args.folder, args.rows, args.seed, not args.no_header, args.corrupt, args.null, args.delimiter, args.decimal, args.files))
+            return 0
+        if args.command == "models":
+            chosen, why = nl.resolve()
+            print(f"{chosen.name}\t{why}")
+            return 0
+        if args.command == "bench":
+            for line in bench_splits(spark, args.folder, args.rows, args.repeats):
+                print(line)
             return 0
+        if args.command == "selftest":
+            wrong = selftest_of(spark, args.folder)
+            print("\n".join(wrong) or "all answers are right")
+            return 1 if wrong else 0
         found = pipeline.inspect(spark, args.file, use_sidecar=args.command != "profile")
         if args.command in ("profile", "schema"):
             if args.command == "schema" and args.confirm:

@@ -175,5 +175,10 @@ def test_command_line(made, tmp_path, capsys, monkeypatch):
     assert cli.main(["plan", made[1], str(tmp_path / "p.json"), "--json"]) == 0
     assert '"rows"' in capsys.readouterr().out
     assert cli.main(["schema", made[1]]) == 0
+    assert cli.main(["models"]) == 0
+    assert cli.main(["selftest", str(tmp_path / "own")]) == 0
+    assert "all answers are right" in capsys.readouterr().out
+    assert cli.main(["bench", str(tmp_path / "timed"), "--rows", "2000", "--repeats", "1"]) == 0
+    assert "MiB/s" in capsys.readouterr().out
     (tmp_path / "q.json").write_text('{"operations": [{"type": "join"}]}')
     assert cli.main(["plan", made[1], str(tmp_path / "q.json")]) == 1
