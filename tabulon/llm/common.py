@@ -9,14 +9,21 @@ from tabulon.files import fresh
 
 #: Bytes that end a word: space and the controls tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Rows of a small table that one task writes.
+TASK_ROWS = 100_000
 _UPPER = bytes(range(65, 91))
 LOWER_AZ = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` to the shared folder, return the table read back and its path."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` to the shared folder, return the table read back and its path.
+
+    Where it is known that there are at most so many ``rows``, they are written by few tasks.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -14,10 +14,10 @@ from tabulon.llm.common import written
 _MAX_ROUNDS = 100
 
 
-def _star(links: DataFrame, paths: list[str]) -> DataFrame:
+def _star(links: DataFrame, paths: list[str], rows: int) -> DataFrame:
     """Of each node u with neighbours v: hang u and every v on the least of them.  (node, least, v)"""
     # Both sides of the join come from files, so that adaptive execution can split a node with many links.
-    least, path = written(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least, path = written(links.groupBy("u").agg(F.min("v").alias("m")), "least", rows)
     paths.append(path)
     return links.join(least, "u")
 
@@ -39,12 +39,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(_MAX_ROUNDS):
         paths = [path]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, paths).withColumn("m", F.least("m", "u")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large, large_path = written(large.distinct(), "large")
+        large = _star(both, paths, 2 * state[0]).withColumn("m", F.least("m", "u")).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, large_path = written(large.distinct(), "large", 2 * state[0])
         paths.append(large_path)
-        star = _star(large, paths)
+        star = _star(large, paths, 2 * state[0])
         small = star.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.where("u > m").select("u", F.col("m").alias("v")))
-        now, path = written(small.distinct(), "links")
+        now, path = written(small.distinct(), "links", 2 * state[0])
         delete(spark, *paths)
         last, state = state, _state(now)
         if last == state:
