@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 128 << 20
 #: What a remembered word takes beside its letters and ids.
 _ENTRY_BYTES = 240
 _NEVER = float("-inf")
