@@ -28,14 +28,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.files import delete
-from tabulon.llm.common import written
+from tabulon.llm.common import settings, written
 
 BUCKETS = 16
 TOKEN_BUDGET = 32_768
 MERGED = 64
+#: Bytes of rows that go to Python at a time: the executor and its workers hold several such batches for each task.
+_BATCH = {"spark__sql__execution__arrow__maxBytesPerBatch": "4m"}
+#: Bytes of a row group of batches.  Spark's reader decodes up to 4096 rows of a row group at once, and a batch is one row.
+GROUP_BYTES = 4 << 20
 PAD = 0
 _ROWS = "bucket int, part long, doc_ids array<long>, n_tokens array<long>, ids binary"
-_FILLED = f"full boolean, number long, {_ROWS}"
+#: ``ids`` of a full batch are padded; what is left over has them in ``rest``, so that reading it reads no full batch.
+_FILLED = f"full boolean, number long, {_ROWS}, rest binary"
 
 
 def _best_cuts(before: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ class Batches:
     """The open batch of each bucket in one task; batches come out as they fill."""
 
     def __init__(self, lengths: list[int], budget: int, part: int) -> None:
-        self.lengths, self.part, self.made = lengths, part, 0
+        self.lengths, self.part, self.made = lengths, part, [0] * len(lengths)
         self.per_batch = [max(1, budget // max(1, n)) for n in lengths]
         self.open: list[list[tuple]] = [[] for _ in lengths]
         self.out: list[tuple] = []
@@ -106,14 +111,14 @@ class Batches:
                 line[: len(ids)] = ids
         else:
             matrix = np.concatenate([ids for _, ids in rows]).astype("<u4")
-        self.out.append((full, self.made, bucket, self.part, [i for i, _ in rows], [len(ids) for _, ids in rows], matrix.tobytes()))
-        self.made += full
+        self.out.append((full, self.made[bucket], bucket, self.part, [i for i, _ in rows], [len(ids) for _, ids in rows], *((matrix.tobytes(), None) if full else (None, matrix.tobytes()))))
+        self.made[bucket] += full
         self.open[bucket] = []
 
     def taken(self, least: int = 32) -> Iterator[pa.RecordBatch]:
         if len(self.out) >= least:
-            types = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            names = ["full", "number", "bucket", "part", "doc_ids", "n_tokens", "ids"]
+            types = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            names = ["full", "number", "bucket", "part", "doc_ids", "n_tokens", "ids", "rest"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.out, strict=True), types, strict=True)], names)
             self.out = []
 
@@ -139,7 +144,7 @@ def _fill_texts(lengths: list[int], budget: int):
 
 
 def _fill_rest(lengths: list[int], budget: int, last: bool):
-    """Batches of what was left over, from rows (group, bucket, part, doc_ids, n_tokens, ids) in this order; in the last round the open ones too."""
+    """Batches of what was left over, from rows (group, bucket, part, doc_ids, n_tokens, rest) in this order; in the last round the open ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, made = None, None
@@ -168,27 +173,31 @@ def batches(rows: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET)
     histogram = rows.groupBy("n_tokens").count().toArrow()
     order = np.argsort(np.asarray(histogram.column(0)))
     lengths = choose(np.asarray(histogram.column(0))[order], np.asarray(histogram.column(1))[order], buckets)
-    filled, _ = written(rows.select("doc_id", "n_tokens", "ids").mapInArrow(_fill_texts(lengths, budget), _FILLED), "batches")
+    groups = {"parquet.block.size": str(GROUP_BYTES)} | {f"parquet.{x}.size.row.check.min": "4" for x in ("block", "page")}
+    with settings(rows.sparkSession, **_BATCH):
+        filled, _ = written(rows.select("doc_id", "n_tokens", "ids").mapInArrow(_fill_texts(lengths, budget), _FILLED), "batches", **groups)
     parts = (filled.agg(F.max("part").alias("part")).first().part or 0) + 1
-    rest, full = filled, [filled.where("full").withColumn("round", F.lit(0))]
+    rest, full = filled, [filled.where("full").drop("rest").withColumn("round", F.lit(0))]
     while parts:
         last = parts <= MERGED
-        grouped = rest.where("not full").select(F.expr(f"part div {MERGED}").alias("group"), "bucket", "part", "doc_ids", "n_tokens", "ids")
+        grouped = rest.where("not full").select(F.expr(f"part div {MERGED}").alias("group"), "bucket", "part", "doc_ids", "n_tokens", "rest")
         dealt = grouped.repartition("group", "bucket").sortWithinPartitions("group", "bucket", "part")
-        rest, _ = written(dealt.mapInArrow(_fill_rest(lengths, budget, last), _FILLED), "batches")
-        full.append(rest.where("full").withColumn("round", F.lit(len(full))))
+        with settings(rows.sparkSession, **_BATCH):
+            rest, _ = written(dealt.mapInArrow(_fill_rest(lengths, budget, last), _FILLED), "batches", **groups)
+        full.append(rest.where("full").drop("rest").withColumn("round", F.lit(len(full))))
         parts = 0 if last else -(-parts // MERGED)
     made = full[0]
     for more in full[1:]:
         made = made.unionByName(more)
-    # Batches are numbered within buckets by the counts of each task and round.
-    counts = made.groupBy("bucket", "round", "part").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"))
+    # Batches are numbered within buckets by the counts of each task and round.  Tasks number their own, so what
+    # the batches are joined with has a row for each task, not one for each batch, and the ids aren't shuffled for it.
+    counts = made.groupBy("bucket", "round", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("round", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts, _ = written(counts.select("bucket", "round", "part", before.alias("before")), "batch-starts")
-    rank = F.row_number().over(Window.partitionBy("bucket", "round", "part").orderBy("number")) - 1
-    numbers, _ = written(made.select("bucket", "round", "part", "number", rank.alias("rank")).join(starts, ["bucket", "round", "part"]).select("bucket", "round", "part", "number", (F.col("before") + F.col("rank")).alias("batch")), "batch-numbers")
+    of_task = F.map_from_entries(F.collect_list(F.struct("bucket", "before")))
+    starts, _ = written(counts.select("bucket", "round", "part", before.alias("before")).groupBy("round", "part").agg(of_task.alias("before")), "batch-starts")
     width = F.element_at(F.array(*(F.lit(n).cast("long") for n in lengths or [0])), F.col("bucket") + 1)
-    return made.join(numbers, ["bucket", "round", "part", "number"]).select("bucket", width.alias("bucket_length"), "batch", "doc_ids", "n_tokens", "ids")
+    batch = F.element_at("before", F.col("bucket")) + F.col("number")
+    return made.join(starts, ["round", "part"]).select("bucket", width.alias("bucket_length"), batch.alias("batch"), "doc_ids", "n_tokens", "ids")
 
 
 def places(made: DataFrame) -> DataFrame:
@@ -227,7 +236,8 @@ def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
 def pack_documents(docs: DataFrame, ranks: str, pattern: str, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """The batches of all documents' token ids (see ``batches``)."""
-    rows, path = written(encoded(docs, ranks, pattern), "token-ids")
+    with settings(docs.sparkSession, **_BATCH):
+        rows, path = written(encoded(docs, ranks, pattern), "token-ids")
     made = batches(rows, buckets, budget)
     delete(docs.sparkSession, path)
     return made

@@ -225,6 +225,25 @@ def test_packing(spark, monkeypatch, merged):
     assert packing.pack_documents(docs.limit(0), ranks, pattern).collect() == []
 
 
+def test_few_batches_are_read_at_once(spark, monkeypatch):
+    """Batches lie in small row groups, apart from what is left over, and get their numbers without a join that shuffles them."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(packing, "GROUP_BYTES", 1 << 14, raising=False)
+    tables, write = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name, *a, **k: tables.append((name, *write(df, name, *a, **k))) or tables[-1][1:])
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('word ', cast(id % 50 as int)) as text").repartition(3)
+    made = packing.pack_documents(docs, *queries.byte_pairs(), 4, 2048)
+    filled = [df for name, df, _ in tables if name == "batches"]
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in filled[0].inputFiles()]
+    groups = [m.row_group(k) for m in files for k in range(m.num_row_groups)]
+    assert len(groups) > 3 and max(g.num_rows for g in groups) * 2048 * 4 < 1 << 19
+    assert all(df.where("full").count() == 0 or {*df.where("full").selectExpr("rest is null").distinct().collect()} == {(True,)} for df in filled)
+    assert filled[0].where("not full and ids is not null").count() == 0
+    assert all("number" not in df.columns for name, df, _ in tables if name != "batches")
+    assert sum(len(r.doc_ids) for r in made.collect()) == 4000
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, score double"
 
 
