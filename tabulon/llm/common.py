@@ -32,6 +32,10 @@ def written(df: DataFrame, name: str, rows: int | None = None, **options: str) -
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: For ``settings``: a write's shuffle files go when it has ended, not whenever the driver next collects garbage.
+SHUFFLES_END = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 @contextmanager
 def settings(spark: SparkSession, **changed: str) -> Iterator[None]:
     """The session's settings (dots written as two underscores) within the block; before and after it they are as they were."""

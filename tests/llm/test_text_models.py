@@ -221,6 +221,22 @@ def test_good_documents_without_a_label_are_good(spark):
     assert len(bad & good) < 0.4 * len(bad)
 
 
+def test_all_trusted_text_is_trained_on(spark, monkeypatch):
+    """Neither the number of documents, nor their length, nor what a task holds changes a verdict's numbers."""
+    texts = ["abracadabra ab", "abc abd ab ž", "cab bac abba" * 9, "a", "dab\U0001f600 cab", "b ab ba"]
+    docs = spark.createDataFrame([(k, x, "en") for k, x in enumerate([*texts, "bab cab", None])], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in (*range(len(texts)), 7)], "doc_id long, quality int")
+    for name, bound in (("TRUSTED_DOCS", 2), ("TRUSTED_CHARS", 20), ("PIECE", 5), ("FOLD_CHARS", 9), ("HELD_GRAMS", 4), ("SLICE", 3)):
+        monkeypatch.setattr(kneser_ney, name, bound, raising=False)
+    found = {r.doc_id: r.bits for r in kneser_ney.classify(docs, labels).collect()}
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(text) as h").collect()}
+    middle = sorted(hashes[k] for k in range(len(texts)))[len(texts) // 2]
+    plain = [plain_kneser_ney([t for k, t in enumerate(texts) if (hashes[k] >= middle) != half], 5) for half in (False, True)]
+    for k, text in enumerate([*texts, "bab cab"]):
+        assert found[k] == pytest.approx(plain[hashes[k] >= middle](text), abs=1e-5)
+    assert kneser_ney.all_trusted(docs, labels).count() == len(texts)
+
+
 def test_a_long_text_leaves_the_others_in_the_training_set(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "TRUSTED_CHARS", 1000)
     monkeypatch.setattr(kneser_ney, "PIECE", 300, raising=False)
