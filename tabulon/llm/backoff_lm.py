@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.files import delete
-from tabulon.llm.common import words, written
+from tabulon.llm.common import SHUFFLES_END, settings, words, written
 
 ORDER = 4
 #: mu of the contexts of one, two and three tokens.
@@ -312,7 +312,9 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, mu: tuple[float
     facts = table.agg(F.sum("n_tokens").alias("n")).first()
     shards = 1 << (max(LEAST_SHARDS, -(-(facts.n or 0) // SHARD_TOKENS)) - 1).bit_length()
     bits = min(64, max(1, facts.n or 0).bit_length() + SPARE_BITS)
-    replies, replies_path = written(totals(requests(table, order, shards, bits)), "totals")
+    # The requests, over half of what is shuffled, needn't be there while replies and texts are.
+    with settings(spark, **SHUFFLES_END):
+        replies, replies_path = written(totals(requests(table, order, shards, bits)), "totals")
     sums = replies.where("chunk is null and level = 1").mapInArrow(_sums, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = sums.n or 0, sums.v or 0
     documents = docs.where(~held_out).count()

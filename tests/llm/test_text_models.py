@@ -293,6 +293,26 @@ def test_long_texts_are_read_in_segments_alike():
         assert machine.scores(chunk, segment) == pytest.approx(whole)
 
 
+def test_requests_leave_the_disk_before_the_replies_are_shuffled(spark, monkeypatch):
+    write, left = backoff_lm.written, {}
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(k).getName()) for k in range(files.size()) if str(files.apply(k).getName()).startswith("shuffle_")}
+
+    def traced(df, name, *args, **options):
+        before = shuffled()
+        out = write(df, name, *args, **options)
+        left[name] = shuffled() - before
+        return out
+
+    monkeypatch.setattr(backoff_lm, "written", traced)
+    docs = spark.createDataFrame([(k, "some words of text " * (k % 9)) for k in range(200)], "doc_id long, text string")
+    assert backoff_lm.score(docs, crc_of_id("doc_id") % 7 == 2).count() == 200
+    assert left["totals"] == set()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_scores_of_nothing_and_of_rows_without_ids(spark):
     docs = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
     assert backoff_lm.score(docs.limit(0), crc_of_id("doc_id") % 7 == 2).collect() == []
