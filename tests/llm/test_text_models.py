@@ -394,3 +394,13 @@ def test_sentencepiece_with_the_public_model(spark):
         assert found[texts.index(text)].ids_crc32 == zlib.crc32(ids.astype("<u4").tobytes())
         assert library.decode(ids.tolist()) == text == codec.decode(ids)
     assert unigram.round_trip(docs.limit(0), model).collect() == []
+
+
+def test_a_task_round_trips_in_one_worker(spark):
+    """Each worker remembers words, so a task that passed ids from one worker to another would hold them twice."""
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "some words, and some words more"), (2, None), (None, "ž")], "doc_id long, text string")
+    found = unigram.round_trip(docs, str(public_tokenizers.path("piece_bpe_32k.model")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.where("not round_trip or ids_crc32 is null").count() == 0
