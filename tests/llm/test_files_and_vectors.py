@@ -151,6 +151,38 @@ def test_tokenizers_of_another_kind_get_whole_texts():
     assert token_ids.PieceEncoder(str(public_tokenizers.path("word_bpe_49k.json"))).by_pieces
 
 
+def test_pieces_of_odd_letters_and_marks_encode_as_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["\u0130.", "x\u0130!! y", "\u0958.", "}\u017f!", "it\u0130's", "<|ENDOFTEXT|> The <|endoftext|>.", "a\u3000.", "\u0344.", "\u00c9t\u00c9,", "\U000323b0.", "a\U000323b0", " \x1ca\x85 ", " "]
+    texts = [*odd, None, "", " ".join(odd), "\n".join(odd[::-1])]
+    library = Tokenizer.from_file(path)
+    expected = [library.encode(text or "", add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in token_ids.PieceEncoder(path).encode(texts)] == expected
+    assert [next(iter(token_ids.PieceEncoder(path).encode([text]))).tolist() for text in texts] == expected
+
+
+def test_pieces_are_learned_once_and_the_memory_is_bounded(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    learned, learn = [], token_ids.PieceEncoder._learn
+    monkeypatch.setattr(token_ids.PieceEncoder, "_learn", lambda self, pieces: (learned.extend(pieces), learn(self, pieces))[1])
+    codec = token_ids.PieceEncoder(path)
+    texts = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) + tail for n in range(1000) for tail in ("", ".", ",", ";")]
+    assert len([*codec.encode(texts)]) == len([*codec.encode(texts[::-1])]) == 4000
+    assert len(learned) == len(set(learned)) == 1003
+    for name, value in (("_REMEMBERED", 100), ("_REMEMBERED_BYTES", 3000), ("_SLICE", 500), ("_LOOKED_UP", 50)):
+        monkeypatch.setattr(token_ids, name, value)
+    codec, library = token_ids.PieceEncoder(path), Tokenizer.from_file(path)
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert max(len(codec.known), len(codec.before)) <= 150
+
+
 def test_token_files_of_a_whole_table(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
