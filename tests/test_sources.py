@@ -182,3 +182,19 @@ def test_command_line(made, tmp_path, capsys, monkeypatch):
     assert "MiB/s" in capsys.readouterr().out
     (tmp_path / "q.json").write_text('{"operations": [{"type": "join"}]}')
     assert cli.main(["plan", made[1], str(tmp_path / "q.json")]) == 1
+
+
+@pytest.mark.parametrize("label", ["k,price,word\n", ""])
+def test_files_that_hold_no_rows_do_not_hide_the_others(spark, tmp_path, label):
+    (tmp_path / "part-0.csv").write_text(label)
+    (tmp_path / "part-1.csv").write_text("")
+    (tmp_path / "part-2.csv").write_text(label + "1,2.50,a")
+    (tmp_path / "part-3.csv").write_text(label + "2,3.25,b\n3,4.75,a\n4,1.25,a\n")
+    found = pipeline.inspect(spark, str(tmp_path), use_sidecar=False)
+    assert found.schema.dialect.has_header == bool(label)
+    assert [c.physical_name for c in found.schema.columns] == (["k", "price", "word"] if label else ["column_0", "column_1", "column_2"])
+    assert [c.physical_type for c in found.schema.columns[:2]] == [t.INT64, t.DECIMAL]
+    price = found.schema.columns[1].query_name
+    plan = {"operations": [{"type": "aggregate", "function": "count", "as": "n"}, {"type": "aggregate", "function": "sum", "column": price, "as": "s"}]}
+    assert engine.query(found.dataset, plan).collect() == [(4, Decimal("11.75"))]
+    assert sniff.head_of(spark, str(tmp_path)) == (label + "1,2.50,a\n2,3.25,b\n3,4.75,a\n4,1.25,a\n").encode()
