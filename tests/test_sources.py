@@ -2,12 +2,13 @@ from decimal import Decimal
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tabulon import cli, pipeline
 from tabulon import types as t
 from tabulon.operators import infer, profile, sample
 from tabulon.plans import engine
-from tabulon.sources import generator, sidecar, sniff
+from tabulon.sources import generator, round_trips, sidecar, sniff
 from tabulon.sources.dataset import CsvDataset
 
 SUM = {"operations": [{"type": "aggregate", "function": "count", "as": "n"}, {"type": "aggregate", "function": "sum", "column": "amount", "as": "s"}]}
@@ -198,3 +199,12 @@ def test_files_that_hold_no_rows_do_not_hide_the_others(spark, tmp_path, label):
     plan = {"operations": [{"type": "aggregate", "function": "count", "as": "n"}, {"type": "aggregate", "function": "sum", "column": price, "as": "s"}]}
     assert engine.query(found.dataset, plan).collect() == [(4, Decimal("11.75"))]
     assert sniff.head_of(spark, str(tmp_path)) == (label + "1,2.50,a\n2,3.25,b\n3,4.75,a\n4,1.25,a\n").encode()
+
+
+def test_a_result_in_many_files_is_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 5, 1.5), ("b", 7, 2.5), ("c", 9, 3.5)], "word string, n long, most double")
+    rows.repartitionByRange(8, F.col("n").desc()).write.csv(str(tmp_path / "first"), header=True, sep=";")
+    (tmp_path / "first" / "part-00000-0.csv").write_text("word;n;most\n")
+    found = pipeline.inspect(spark, str(tmp_path / "first"), use_sidecar=False)
+    listed = engine.query(found.dataset, {"operations": [{"type": "project", "columns": ["word", "n", "most"]}]}, bounded=False)
+    assert sorted(map(tuple, listed.collect())) == [("a", 5, 1.5), ("b", 7, 2.5), ("c", 9, 3.5)]
