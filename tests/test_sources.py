@@ -208,3 +208,11 @@ def test_a_result_in_many_files_is_read_back(spark, tmp_path):
     found = pipeline.inspect(spark, str(tmp_path / "first"), use_sidecar=False)
     listed = engine.query(found.dataset, {"operations": [{"type": "project", "columns": ["word", "n", "most"]}]}, bounded=False)
     assert sorted(map(tuple, listed.collect())) == [("a", 5, 1.5), ("b", 7, 2.5), ("c", 9, 3.5)]
+
+
+def test_quarantine_holds_all_bad_rows(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f"{k},1\n" if k % 2 else f"{k}\n" for k in range(500)))
+    found = pipeline.inspect(spark, str(tmp_path / "x.csv"), use_sidecar=False)
+    outcome = engine.run(found.dataset, {"operations": [{"type": "aggregate", "function": "count"}]}, engine.Options(policy="quarantine"))
+    assert outcome.collect() == [[250]]
+    assert sorted(int(r[0]) for r in outcome.quarantine.collect()) == [*range(0, 500, 2)]
