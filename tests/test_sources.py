@@ -216,3 +216,11 @@ def test_quarantine_holds_all_bad_rows(spark, tmp_path):
     outcome = engine.run(found.dataset, {"operations": [{"type": "aggregate", "function": "count"}]}, engine.Options(policy="quarantine"))
     assert outcome.collect() == [[250]]
     assert sorted(int(r[0]) for r in outcome.quarantine.collect()) == [*range(0, 500, 2)]
+
+
+def test_blanks_and_breaks_around_and_in_texts_are_kept(spark, tmp_path):
+    texts = ["  blanks ", "", "\r\nboth", "one\rof\r\neach\n", "\ttab\t", "plain", None, "é\u2028x"]
+    made = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {int(r.doc_id): r.body for r in round_trips.csv_quoted_breaks(spark, str(tmp_path)).collect()}
+    assert got == {k: x and x + f'\n"quoted", {k}' if x != "" else f'\n"quoted", {k}' for k, x in enumerate(texts)}
