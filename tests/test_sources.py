@@ -224,3 +224,13 @@ def test_blanks_and_breaks_around_and_in_texts_are_kept(spark, tmp_path):
     made.write.parquet(str(tmp_path / "documents.parquet"))
     got = {int(r.doc_id): r.body for r in round_trips.csv_quoted_breaks(spark, str(tmp_path)).collect()}
     assert got == {k: x and x + f'\n"quoted", {k}' if x != "" else f'\n"quoted", {k}' for k, x in enumerate(texts)}
+
+
+def test_rows_are_counted_where_all_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.csv").write_text("a,b\n" + "".join(f"{k},{k % 7}\n" for k in range(sample.TARGET + 1)))
+    found = pipeline.inspect(spark, str(tmp_path / "x.csv"), use_sidecar=False)
+    assert (found.rows, found.exact) == (sample.TARGET + 1, True)
+    monkeypatch.setattr(sample, "SMALL_FILE", 0)
+    found = pipeline.inspect(spark, str(tmp_path / "x.csv"), use_sidecar=False)
+    assert not found.exact
+    assert (found.count(), found.exact) == (sample.TARGET + 1, True)
