@@ -234,3 +234,10 @@ def test_rows_are_counted_where_all_are_read(spark, tmp_path, monkeypatch):
     found = pipeline.inspect(spark, str(tmp_path / "x.csv"), use_sidecar=False)
     assert not found.exact
     assert (found.count(), found.exact) == (sample.TARGET + 1, True)
+
+
+def test_profile_counts_all_different_values(spark):
+    rows = spark.range(100_002).select(F.concat(F.lit("v"), "id").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    a, b = profile.profile(rows, ["a", "b"], t.Dialect())
+    assert (a.rows, a.distinct, a.examples) == (100_002, 100_002, ["v0", "v1", "v10", "v100", "v1000"])
+    assert (b.distinct, b.examples) == (3, ["0", "1", "2"])
