@@ -241,3 +241,14 @@ def test_profile_counts_all_different_values(spark):
     a, b = profile.profile(rows, ["a", "b"], t.Dialect())
     assert (a.rows, a.distinct, a.examples) == (100_002, 100_002, ["v0", "v1", "v10", "v100", "v1000"])
     assert (b.distinct, b.examples) == (3, ["0", "1", "2"])
+
+
+def test_column_counts_deal_large_tables(spark, tmp_path, monkeypatch):
+    spark.range(3000).select("id", (F.col("id") % 7).alias("k"), F.lit(None).cast("string").alias("none")).write.parquet(str(tmp_path / "t"))
+    whole = profile.column_counts(spark.read.parquet(str(tmp_path / "t")))
+    want = sorted(map(tuple, whole.collect()))
+    assert want == [("id", 3000, 0, 3000, 1, 4), ("k", 3000, 0, 7, 1, 1), ("none", 3000, 3000, 0, None, None)]
+    monkeypatch.setattr(profile, "PIECE", 1000)
+    dealt = profile.column_counts(spark.read.parquet(str(tmp_path / "t")))
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().toString()
+    assert sorted(map(tuple, dealt.collect())) == want
